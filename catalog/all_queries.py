@@ -1,3 +1,5 @@
 """Imports every query module so that all queries are registered."""
 
 from catalog import nights_queries  # noqa: F401
+from catalog import window_queries  # noqa: F401
+from catalog import spectral_queries  # noqa: F401

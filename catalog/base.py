@@ -108,7 +108,9 @@ for _step in (300, 60, 10):
         f"SELECT *, strftime({LOCAL_DATE}, '%Y-%m-%d') AS date FROM sensor{s}")
     cte(f"night{s}", f"sensor{s}", f"""
         SELECT *, row_number() OVER (PARTITION BY user_id, night ORDER BY ts) - 1 AS pos,
-               count(*) OVER (PARTITION BY user_id, night) AS n
+               count(*) OVER (PARTITION BY user_id, night) AS n,
+               min(ts) OVER (PARTITION BY user_id, night) AS night_first,
+               max(ts) OVER (PARTITION BY user_id, night) AS night_last
         FROM (SELECT *, CASE WHEN {LOCAL_HOUR} >= 20 THEN strftime({LOCAL_DATE} + 1, '%Y-%m-%d')
                              WHEN {LOCAL_HOUR} < 12 THEN strftime({LOCAL_DATE}, '%Y-%m-%d') END AS night
               FROM sensor{s})

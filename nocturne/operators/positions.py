@@ -56,6 +56,8 @@ def tumbling(df: DataFrame, rows: int) -> DataFrame:
 
 def sliding(df: DataFrame, rows: int, stride: int) -> DataFrame:
     """Overlapping windows; each row repeats in at most ``ceil(rows / stride)`` of them."""
+    if stride > rows:
+        raise ValueError("stride must not exceed the window")
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - rows) / stride) + 1)
     last = F.floor(F.col("pos") / stride)
     return (
