@@ -3,3 +3,4 @@
 from catalog import nights_queries  # noqa: F401
 from catalog import window_queries  # noqa: F401
 from catalog import spectral_queries  # noqa: F401
+from catalog import stage_queries  # noqa: F401

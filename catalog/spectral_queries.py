@@ -85,7 +85,7 @@ def e4(spark, sf):
 
 
 @query("e4_stress_summary", sql("""
-    SELECT user_id, night, round_even(avg(stress), 1) AS stress_avg,
+    SELECT user_id, night, round_even(avg(stress), 2) AS stress_avg,
            round_even(100.0 * sum(CASE WHEN level = 'HIGH' THEN 1 ELSE 0 END) / count(*), 1) AS stress_high_pct
     FROM stress_win GROUP BY 1, 2""", "stress_win", "stress_avg stress_high_pct", digits=1), digits=1)
 def e4_summary(spark, sf):

@@ -58,6 +58,8 @@ def windows_cte(name: str, rows: int, stride: int | None = None, step: str = "",
           count(hr_ok) AS n_hr, avg(hr_ok) AS hr_mean, stddev_pop(hr_ok) AS hr_std, min(hr_ok) AS hr_min, max(hr_ok) AS hr_max,
           quantile_cont(hr_ok, 0.1) AS hr_p10, quantile_cont(hr_ok, 0.25) AS hr_p25, quantile_cont(hr_ok, 0.5) AS hr_med,
           quantile_cont(hr_ok, 0.75) AS hr_p75, quantile_cont(hr_ok, 0.9) AS hr_p90,
+          list_sort(list(hr_ok) FILTER (hr_ok IS NOT NULL))[CAST(floor(count(hr_ok) * 0.25) AS INT) + 1] AS hr_f25,
+          list_sort(list(hr_ok) FILTER (hr_ok IS NOT NULL))[CAST(floor(count(hr_ok) * 0.75) AS INT) + 1] AS hr_f75,
           regr_slope(hr_ok, hr_at) AS hr_slope, avg(abs(d_hr)) AS hr_masd, stddev_pop(abs(d_hr)) AS hr_masd_std,
           avg(abs(d2_hr)) AS hr_accel, var_pop(d2_hr) AS hr_accel_var,
           coalesce(sum(CASE WHEN abs(d_hr) > 5 THEN 1 ELSE 0 END), 0) AS hr_jumps,
