@@ -178,8 +178,8 @@ def q2(spark, sf):
 
 @query("q3_majority_filter", sql("""
     SELECT user_id, night, win, CASE WHEN n < 5 OR i <= 2 OR i > n - 2 THEN phase ELSE (
-      SELECT arg_min(x, rank) FROM (SELECT x, -count(*) * 100 + min(at) AS rank FROM (
-        SELECT unnest(near) AS x, unnest(range(5)) AS at) GROUP BY x)) END AS phase
+      SELECT arg_min(x, rank) FROM (SELECT x, -count(*) * 100 + min(ix) AS rank FROM (
+        SELECT unnest(near) AS x, unnest(range(5)) AS ix) GROUP BY x)) END AS phase
     FROM (SELECT user_id, night, win, phase, list(phase) OVER (PARTITION BY user_id, night ORDER BY win ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near,
                  row_number() OVER (PARTITION BY user_id, night ORDER BY win) AS i, count(*) OVER (PARTITION BY user_id, night) AS n FROM phases)""", "phases"))
 def q3(spark, sf):
