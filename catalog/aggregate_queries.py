@@ -287,7 +287,7 @@ def e2(spark, sf):
 
 @query("e3_sleep_periods", sql("""
     SELECT user_id, date, start_ts, end_ts, chunks, avg_hr, duration_min, sum(duration_min) OVER (PARTITION BY user_id, date) AS total_min
-    FROM (SELECT user_id, date, min(start_ts) AS start_ts, max(end_ts) AS end_ts, count(*) AS chunks, round_even(avg(round_even(h, 1)), 1) AS avg_hr,
+    FROM (SELECT user_id, date, min(start_ts) AS start_ts, max(end_ts) AS end_ts, count(*) AS chunks, round_even(avg(round_even(h * 10, 0)), 0) / 10 AS avg_hr,
                  round_even((max(end_ts) - min(start_ts)) / 60.0, 0) AS duration_min
           FROM (SELECT *, sum(c) OVER (PARTITION BY user_id, date ORDER BY win) AS period FROM (
             SELECT *, CASE WHEN calm = lag(calm) OVER (PARTITION BY user_id, date ORDER BY win) THEN 0 ELSE 1 END AS c FROM (

@@ -5,3 +5,4 @@ from catalog import window_queries  # noqa: F401
 from catalog import spectral_queries  # noqa: F401
 from catalog import stage_queries  # noqa: F401
 from catalog import aggregate_queries  # noqa: F401
+from catalog import daily_queries  # noqa: F401

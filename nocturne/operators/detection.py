@@ -128,7 +128,7 @@ def sleep_periods(df: DataFrame, rows: int = 60, hr_below: float = 70.0, varianc
     )
     periods = marked.where("calm = 1").groupBy(*DAY, "period").agg(
         F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
-        F.count(F.lit(1)).alias("chunks"), F.bround(F.avg(F.bround("chunk_hr", 1)), 1).alias("avg_hr"),
+        F.count(F.lit(1)).alias("chunks"), (F.bround(F.avg(F.bround(F.col("chunk_hr") * 10, 0)), 0) / 10).alias("avg_hr"),
     ).where(F.col("chunks") >= min_chunks)
     minutes = F.bround((F.col("end_ts") - F.col("start_ts")) / 60, 0)
     return periods.withColumn("duration_min", minutes).withColumn(
