@@ -115,7 +115,7 @@ def sc9(spark, sf):
 
 
 @query("sc10_sleep_need", sql("""
-    SELECT user_id, date, round_even(7.5E0 + greatest(0, (strain - 10) * 0.1E0) + (8 - sleep_hours) * 0.2E0, 1) AS need FROM daily""", "daily", "need", digits=1), digits=1)
+    SELECT user_id, date, round_even(7.5E0 + greatest(0, (strain - 10) * 0.1E0) + (8 - sleep_hours) * 0.2E0, 2) AS need FROM daily""", "daily", "need", digits=2), digits=2)
 def sc10(spark, sf):
     return daily_scores(spark, sf).select("user_id", "date", scores.sleep_need(debt=8 - F.col("sleep_hours")).alias("need"))
 
@@ -522,7 +522,7 @@ def j17(spark, sf):
 
 
 @query("a27_monthly_averages", sql("""
-    SELECT o_custkey % 50 AS user_id, strftime(o_orderdate, '%Y-%m') AS month, round(avg(o_orderkey % 211), 0) AS strain, round(avg(o_orderkey % 101), 0) AS recovery, count(*) AS days FROM orders GROUP BY 1, 2""", "", "strain recovery", digits=0), digits=0)
+    SELECT o_custkey % 50 AS user_id, strftime(o_orderdate, '%Y-%m') AS month, round_even(avg(o_orderkey % 211), 1) AS strain, round_even(avg(o_orderkey % 101), 1) AS recovery, count(*) AS days FROM orders GROUP BY 1, 2""", "", "strain recovery"))
 def a27(spark, sf):
     o = table(spark, sf, "orders")
     d = o.select(
@@ -532,12 +532,11 @@ def a27(spark, sf):
     return trends.monthly_averages(d, ["strain", "recovery"])
 
 
-_WEEK = "SELECT user_id, isodow(CAST(date AS DATE)) - 1 AS weekday, avg(strain) AS strain, avg(recovery) AS recovery, avg(sleep) AS sleep, avg(hrv) AS hrv FROM daily GROUP BY 1, 2"
-
-
-@query("a28_weekday_pattern", sql(_WEEK.replace("avg(", "round(avg(").replace(") AS", ", 0)) AS").replace("avg(strain, 0)", "avg(strain), 0").replace("avg(recovery, 0)", "avg(recovery), 0").replace("avg(sleep, 0)", "avg(sleep), 0").replace("avg(hrv, 0)", "avg(hrv), 0").replace("0))", "0)"), "daily", "strain recovery sleep hrv", digits=0), digits=0)
+@query("a28_weekday_pattern", sql("""
+    SELECT user_id, isodow(CAST(date AS DATE)) - 1 AS weekday, round_even(avg(recovery), 1) AS recovery, round_even(avg(sleep), 1) AS sleep, round_even(avg(hrv), 1) AS hrv FROM daily GROUP BY 1, 2""",
+    "daily", "recovery sleep hrv"))
 def a28(spark, sf):
-    return trends.weekday_pattern(daily_scores(spark, sf), ["strain", "recovery", "sleep", "hrv"])
+    return trends.weekday_pattern(daily_scores(spark, sf), ["recovery", "sleep", "hrv"])
 
 
 @query("a28_best_weekday", sql("""

@@ -32,9 +32,13 @@ def uint_be(frame: Column, at: int, n: int) -> Column:
     return _from_hex(byte_hex(frame, at, n))
 
 
-def float32_be(frame: Column, at: int) -> Column:
-    """IEEE single, big-endian; NULL for infinities and NaN."""
-    bits = uint_be(frame, at, 4)
+def float32_bits(frame: Column, at: int) -> Column:
+    """The bits of an IEEE single, big-endian."""
+    return uint_be(frame, at, 4)
+
+
+def float32_value(bits: Column) -> Column:
+    """The value of the bits of an IEEE single; NULL for infinities and NaN."""
     sign = F.when(bits.bitwiseAND(F.lit(0x80000000)) != 0, -1.0).otherwise(1.0)
     exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(0xFF))
     mantissa = bits.bitwiseAND(F.lit(0x7FFFFF)).cast("double")
@@ -45,6 +49,11 @@ def float32_be(frame: Column, at: int) -> Column:
     )
 
 
+def float32_be(frame: Column, at: int) -> Column:
+    """IEEE single at a byte offset, big-endian."""
+    return float32_value(float32_bits(frame, at))
+
+
 def crc16_modbus(frame: Column, n_bytes: int) -> Column:
     """CRC-16/MODBUS of the first ``n_bytes`` bytes, as expressions."""
 

@@ -142,3 +142,10 @@ def steps(c: Column, cases: list[tuple[float, float]], default: float = 0.0) ->
     for bound, value in reversed(cases):
         out = F.when(c < bound, F.lit(float(value))).otherwise(out)
     return out
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of complete pairs, NULL (not an error) where one side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))

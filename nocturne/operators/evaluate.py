@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nocturne.functions.scalars import pearson
 from nocturne.operators.nights import NIGHT
 from nocturne.operators.series import runs
 
@@ -60,7 +61,7 @@ def score_errors(pairs: DataFrame, metrics: list[str], by: list[str] | None = No
     d = F.col("x") - F.col("y")
     return long.groupBy(*(by or []), "metric").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"),
-        F.corr("x", "y").alias("r"),
+        pearson(F.col("x"), F.col("y")).alias("r"),
     )
 
 

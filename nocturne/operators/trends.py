@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nocturne.functions.scalars import correlation_strength
+from nocturne.functions.scalars import correlation_strength, pearson
 from nocturne.operators.joins import next_day
 
 
@@ -41,7 +41,7 @@ def guarded_correlation(x: str, y: str, at_least: int = 5) -> Column:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    r = F.when(flat, 0.0).otherwise(F.bround(F.corr(a, b), 3))
+    r = F.when(flat, 0.0).otherwise(F.bround(pearson(a, b), 3))
     return F.when(F.count(a) >= at_least, r)
 
 
