@@ -7,9 +7,25 @@ expressions only, so the oracles can compare with the table itself.
 from pyspark.sql import functions as F
 
 from nocturne.functions.binary import crc16_modbus
+from nocturne.session import cut_lineage
 from nocturne.sources.adapters import daily_scores, sensor
 
 
+_WRITTEN = {}
+
+
+def written(build):
+    """The built table as files in the shared folder, written once per application."""
+
+    def source(spark, sf):
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = cut_lineage(build(spark, sf), build.__name__)
+        return _WRITTEN[key]
+
+    return source
+
+
 def le(c, n):
     return F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)])
 
@@ -31,6 +47,7 @@ def zeros(n):
     return F.lit("00" * n)
 
 
+@written
 def frames(spark, sf):
     """Sensor rows with a frame: short for even users, long for odd ones."""
     s = sensor(spark, sf)
@@ -53,6 +70,7 @@ def frames(spark, sf):
     ).drop("payload", "header")
 
 
+@written
 def records(spark, sf):
     """Sensor rows as 124-byte records; the z value keeps the oxygen byte."""
     s = sensor(spark, sf)
@@ -68,6 +86,7 @@ def records(spark, sf):
     return s.withColumn("record", F.concat(F.lit("AA0174"), body, zeros(5)))
 
 
+@written
 def packet_log(spark, sf):
     """A command log from orders: one request and two responses per order."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
@@ -107,6 +126,7 @@ def iso(ts):
     return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+@written
 def day_documents(spark, sf):
     """A day document per row of ``daily_scores``."""
     d = daily_scores(spark, sf)

@@ -30,7 +30,7 @@ FIELDS = ["timestamp", "hr", "rr_count", "rr1_ms", "rr2_ms", "acc_x", "acc_y", "
 @query("d1_decode_frames", sql("SELECT * FROM decoded", "decoded", DECODED))
 def d1(spark, sf):
     d = packets.decode_frames(fixtures.frames(spark, sf))
-    return d.where("d is not null").select("user_id", *[F.col(f"d.{f}").alias(f) for f in FIELDS])
+    return d.where("d_ok").select("user_id", *[F.col(f"d.{f}").alias(f) for f in FIELDS])
 
 
 cte("records", "sensor", f"""
@@ -44,7 +44,7 @@ cte("records", "sensor", f"""
 def d2(spark, sf):
     d = packets.decode_records(fixtures.records(spark, sf))
     fields = FIELDS + [f"byte{i}" for i in packets.UNKNOWN_BYTES]
-    return d.where("d is not null").select("user_id", *[F.col(f"d.{f}").alias(f) for f in fields])
+    return d.where("d_ok").select("user_id", *[F.col(f"d.{f}").alias(f) for f in fields])
 
 
 @query("d3_integrity_audit", sql("""

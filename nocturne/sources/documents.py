@@ -439,7 +439,7 @@ def har_records(df: DataFrame, url_part: str = "metrics-service") -> DataFrame:
     bodies = entries.where(F.contains("e.request.url", F.lit(url_part))).select(
         *keys, "seq", "entry", F.unbase64(text).alias("body")
     ).where("body is not null")
-    decoded = decode_records(split_records(bodies)).where("d is not null")
+    decoded = decode_records(split_records(bodies)).where("d_ok")
     picked = decoded.groupBy(*keys, F.col("d.timestamp").alias("timestamp")).agg(
         F.max_by("d", F.struct("seq", "entry", "at")).alias("d")
     )

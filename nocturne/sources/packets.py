@@ -25,7 +25,7 @@ def _spo2(raw: Column) -> Column:
 
 def decode_frames(df: DataFrame, frame: str = "frame", first: int = 1_600_000_000,
                   last: int = 2_100_000_000) -> DataFrame:
-    """Adds the struct ``d`` of a sensor frame, NULL where the text is none.
+    """Adds the struct ``d`` of a sensor frame and ``d_ok``, whether the text is one.
 
     Short frames (payload up to 80 bytes) store the heart rate; long ones only beat
     intervals. Floats that are not finite or above 100 set all four to zero.
@@ -70,11 +70,11 @@ def decode_frames(df: DataFrame, frame: str = "frame", first: int = 1_600_000_00
         h.isNotNull() & (c("_size") >= 52) & F.startswith(h, F.lit("AA01")) & (c("_kind") == 0x2F)
         & c("_ts").between(first, last)
     )
-    return v.withColumn("d", F.when(ok, record)).select(*df.columns, "d")
+    return v.withColumns({"d_ok": F.coalesce(ok, F.lit(False)), "d": record}).select(*df.columns, "d_ok", "d")
 
 
 def decode_records(df: DataFrame, record: str = "record", first: int = 1_000_000_000) -> DataFrame:
-    """Adds the struct ``d`` of a 124-byte record (payload from byte 3).
+    """Adds the struct ``d`` of a 124-byte record (payload from byte 3) and ``d_ok``.
 
     The oxygen byte lies inside the last acceleration value; ``spo2_suspect`` says so.
     """
@@ -106,7 +106,7 @@ def decode_records(df: DataFrame, record: str = "record", first: int = 1_000_000
         *[c(f"byte{i}") for i in UNKNOWN_BYTES],
     )
     ok = h.isNotNull() & (F.length(h) >= RECORD_BYTES * 2) & (c("_ts") > first)
-    return v.withColumn("d", F.when(ok, out)).select(*df.columns, "d")
+    return v.withColumns({"d_ok": F.coalesce(ok, F.lit(False)), "d": out}).select(*df.columns, "d_ok", "d")
 
 
 def split_records(df: DataFrame, body: str = "body") -> DataFrame:

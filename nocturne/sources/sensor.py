@@ -61,8 +61,8 @@ def scan(raw: DataFrame) -> DataFrame:
     """
     is_frame = (F.length("raw_hex") >= 32) & ~F.startswith("raw_hex", F.lit("hr_ble:"))
     frames = decode_frames(raw.withColumn("frame", F.when(is_frame, F.upper("raw_hex"))))
-    decoded = frames.where("d is not null").select("user_id", "id", "d.*")
-    stored = stored_columns(frames.where("d is null"))
+    decoded = frames.where("d_ok").select("user_id", "id", "d.*")
+    stored = stored_columns(frames.where("not d_ok"))
     return keep_one(decoded.unionByName(stored), ["user_id", "timestamp"], ["id"]).drop("id")
 
 
