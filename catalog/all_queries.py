@@ -7,3 +7,4 @@ from catalog import stage_queries  # noqa: F401
 from catalog import aggregate_queries  # noqa: F401
 from catalog import daily_queries  # noqa: F401
 from catalog import ingest_queries  # noqa: F401
+from catalog import model_queries  # noqa: F401
