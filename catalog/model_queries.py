@@ -197,13 +197,13 @@ def viterbi_sql(source: str, trans: np.ndarray, init: np.ndarray, temperature: f
     """Forward scores, back pointers and the traced path as two recursions."""
     lt, li = np.log(trans), np.log(init)
     k = len(init)
-    reach = lambda j: [f"v{i} + {lt[i, j]!r}::DOUBLE" for i in range(k)]
+    reach = lambda j: [f"v{i} + {float(lt[i, j])!r}::DOUBLE" for i in range(k)]
     best = lambda j: f"greatest({', '.join(reach(j))})"
     back = lambda j: "CASE " + " ".join(f"WHEN {r} = {best(j)} THEN {i}" for i, r in enumerate(reach(j))) + " END"
     return f"""
     e AS (SELECT user_id, night, win, row_number() OVER (PARTITION BY user_id, night ORDER BY win) AS i, count(*) OVER (PARTITION BY user_id, night) AS n,
           {', '.join(f'ln(greatest(1e-10, p{j})) / {temperature} AS e{j}' for j in range(k))} FROM {source}),
-    fw AS (SELECT user_id, night, win, i, n, {', '.join(f'e{j} + {li[j]!r}::DOUBLE AS v{j}' for j in range(k))}, {', '.join(f'0 AS b{j}' for j in range(k))} FROM e WHERE i = 1
+    fw AS (SELECT user_id, night, win, i, n, {', '.join(f'e{j} + {float(li[j])!r}::DOUBLE AS v{j}' for j in range(k))}, {', '.join(f'0 AS b{j}' for j in range(k))} FROM e WHERE i = 1
            UNION ALL SELECT e.user_id, e.night, e.win, e.i, e.n, {', '.join(f'{best(j)} + e.e{j}' for j in range(k))}, {', '.join(back(j) for j in range(k))}
            FROM fw f JOIN e ON e.user_id = f.user_id AND e.night = f.night AND e.i = f.i + 1),
     tr AS (SELECT user_id, night, win, i, CASE {' '.join(f"WHEN v{j} = greatest({', '.join(f'v{m}' for m in range(k))}) THEN {j}" for j in range(k))} END AS state,
@@ -345,7 +345,7 @@ def m2_all(spark, sf):
 @query("m3_augmented_features", sql("""
     SELECT s.user_id, s.night, s.win, acc_z_var, gyro_max, hr_std / (mv_mean + 0.05) AS atonia_score, hr_masd_std, hr_accel_var, hr_std * hr_mean AS hr_var_x_level, coalesce(b.breath_irreg, 0) AS breath_irreg
     FROM w_st s LEFT JOIN (SELECT user_id, night, win, CASE WHEN count(*) > 4 THEN stddev_pop(d_rr) ELSE 0 END AS breath_irreg FROM w_c WHERE rr_ok IS NOT NULL GROUP BY 1, 2, 3) b ON b.user_id = s.user_id AND b.night = s.night AND b.win = s.win""",
-    "w_st", "acc_z_var gyro_max atonia_score hr_masd_std hr_accel_var hr_var_x_level breath_irreg", digits=5), digits=5)
+    "w_st", "acc_z_var gyro_max atonia_score hr_masd_std hr_accel_var hr_var_x_level breath_irreg", digits=4), digits=4)
 def m3(spark, sf):
     f = features.features_extra(features.windows_of(night_rows(spark, sf), 20), frame_a(spark, sf))
     return f.select(*NIGHT_WIN, "acc_z_var", "gyro_max", "atonia_score", "hr_masd_std", "hr_accel_var", "hr_var_x_level", "breath_irreg")
