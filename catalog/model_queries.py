@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from catalog.base import cte, query, sql
 from catalog.daily_queries import pairs
 from catalog.stage_queries import a23, phases
-from catalog.window_queries import night_bounds, night_rows, rest, window_frame, window_labels, with_bounds
+from catalog.window_queries import night_bounds, night_rows, window_frame, window_labels, with_bounds
 from nocturne.operators import evaluate, order_stats, sequence
 from nocturne.operators.nights import NIGHT
 from nocturne.operators.window_stats import NIGHT_WIN
@@ -289,13 +289,11 @@ def q15(spark, sf):
 
 
 def frame_a(spark, sf):
-    rows = night_rows(spark, sf)
-    return features.features_a(features.windows_of(rows, 20), rest(spark, sf), features.night_span(rows))
+    return features.features_a(features.windows_of(night_rows(spark, sf), 20, None, 30, 3))
 
 
 def frame_b(spark, sf):
-    rows = night_rows(spark, sf)
-    return features.features_b(features.windows_of(rows, 20), rest(spark, sf), features.night_span(rows))
+    return features.features_b(features.windows_of(night_rows(spark, sf), 20, None, 30, 3))
 
 
 _CHECK_A = "hr_trend hr_range hr_masd hr_cv rmssd pnn20 rr_trend mv_zcr mv_burst_count spo2_min delta_hr roll_hr_std roll10_hr_mean prev3_hr cumulative_sleep_hrs hr_mv_interaction"

@@ -1,10 +1,12 @@
 """Stagers (ST1-ST16), sequence repair (Q1-Q6, Q16, Q17) and stage summaries."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.base import cte, query, sql
 from catalog.spectral_sql import spectrum_cte
-from catalog.window_queries import night_rows, rest, window_frame, windows_cte
+from catalog.window_queries import night_rows, window_frame, windows_cte
 from nocturne.operators import aggregates, sequence, series, stagers
 from nocturne.operators.nights import NIGHT
 from nocturne.operators.stagers import RULE_SETS, RuleSet
@@ -66,9 +68,8 @@ def register_stager_query(key: str, name: str, rows: int, stride: int | None = N
 
     @query(key, oracle)
     def run(spark, sf):
-        return stagers.stage_windows(night_rows(spark, sf), rules, rest(spark, sf), rows, stride).select(
-            *NIGHT_WIN, "phase"
-        )
+        staged = stagers.stage_windows(night_rows(spark, sf), rules, None, rows, stride, rest_rows=30, rest_step=3)
+        return staged.select(*NIGHT_WIN, "phase")
 
 
 for _key, _name, _rows, _stride in [
@@ -95,7 +96,8 @@ _COARSE = "CASE label WHEN 0 THEN 'awake' WHEN 3 THEN 'rem' ELSE 'nrem' END"
 
 
 def coarse_windows(spark, sf):
-    staged = stagers.stage_windows(night_rows(spark, sf), RULE_SETS["hr_only"], rest(spark, sf), 20, 20)
+    rules = replace(RULE_SETS["hr_only"], smooth=False)
+    staged = stagers.stage_windows(night_rows(spark, sf), rules, None, 20, 20, rest_rows=30, rest_step=3)
     span = F.greatest(F.col("night_last") - F.col("night_first"), F.lit(1))
     coarse = F.when(F.col("label") == 0, "awake").when(F.col("label") == 3, "rem").otherwise("nrem")
     return staged.withColumns(

@@ -39,6 +39,22 @@ def resting_hr_of(rows: int = 300, above: int = 0) -> Column:
     )
 
 
+def with_resting_hr(df: DataFrame, keys: list[str] = NIGHT, rows: int = 300, step: int = 30,
+                    above: int = 0) -> DataFrame:
+    """The resting heart rate of the group on every row, by window functions only.
+
+    Operators that need it per window use this form: no second scan, no join.
+    """
+    group = W.partitionBy(*keys)
+    ok = F.when(F.col("hr") > above, F.col("hr"))
+    df = resting_hr_columns(df, keys, rows, step, above)
+    few = F.percentile(ok, F.lit(0.5)).over(group)
+    best = F.min("rest_mean").over(group)
+    return df.withColumn(
+        "rhr", F.coalesce(F.when(F.count(ok).over(group) < rows, few).otherwise(best), F.lit(60.0))
+    ).drop("rest_mean")
+
+
 def resting_hr(df: DataFrame, keys: list[str] = NIGHT, rows: int = 300, step: int = 30) -> DataFrame:
     return (
         resting_hr_columns(df, keys, rows, step)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from nocturne.operators import positions, sequence, spectral
 from nocturne.operators.nights import NIGHT
+from nocturne.operators.series import with_resting_hr
 from nocturne.operators.window_stats import with_beats, window_stats
 
 Scored = list[tuple[str, dict[str, float]]]
@@ -340,40 +341,48 @@ RULE_SETS = {
 # -------------------------------------------------------------------- operator
 
 
-def _floor_quartiles(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Floor-index quartiles of the heart rate, as the app computes them."""
+def with_floor_quartiles(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Marks the floor-index quartiles of the heart rate, as the app computes them."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("hr_ok", "timestamp")) - 1
     size = F.count("hr_ok").over(W.partitionBy(*keys))
-    valid = F.col("hr_ok").isNotNull()
-    ranked = windows.withColumns({"_rank": F.when(valid, rank - (F.col("rows_in") - size)), "_size": size})
     # NULLs sort first, so the rank of a valid value is shifted by their count
-    return ranked.groupBy(*keys).agg(
-        F.max(F.when(F.col("_rank") == F.floor(F.col("_size") * 0.25), F.col("hr_ok"))).alias("hr_f25"),
-        F.max(F.when(F.col("_rank") == F.floor(F.col("_size") * 0.75), F.col("hr_ok"))).alias("hr_f75"),
-    )
-
-
-def stage_windows(df: DataFrame, rules: RuleSet, rhr: DataFrame, rows: int | None = None,
-                  stride: int | None = None, keys: list[str] = NIGHT) -> DataFrame:
+    at = F.when(F.col("hr_ok").isNotNull(), rank - (F.col("rows_in") - size))
+    marked = windows.withColumns({"_at": at, "_valid": size})
+    return marked.withColumns(
+        {
+            f"hr_f{q}": F.when(F.col("_at") == F.floor(F.col("_valid") * q / 100), F.col("hr_ok"))
+            for q in (25, 75)
+        }
+    ).drop("_at", "_valid")
+
+
+def stage_windows(df: DataFrame, rules: RuleSet, rhr: DataFrame | None = None, rows: int | None = None,
+                  stride: int | None = None, keys: list[str] = NIGHT, rest_rows: int = 300,
+                  rest_step: int = 30, carry: tuple[str, ...] = ("start_ts", "last_ts", "mid_ts")) -> DataFrame:
     """Window statistics, derived columns and ``phase`` of every window of every night.
 
-    ``df`` holds night rows, ``rhr`` one resting heart rate per night. ``rows`` and
-    ``stride`` override the geometry of the rule set.
+    ``df`` holds night rows. Without ``rhr`` (one resting heart rate per night) it is
+    computed on the way, and all runs on one shuffle by night. ``rows`` and ``stride``
+    override the geometry of the rule set. Smoothed rule sets return ``phase`` and
+    the ``carry`` columns only.
     """
     rows = rows or rules.rows
     stride = stride or (rules.stride and max(1, rules.stride * rows // rules.rows))
-    placed = positions.with_position(df, keys)
+    inline = rhr is None
+    if inline:
+        df = with_resting_hr(df, keys, rest_rows, rest_step)
+    placed = df if inline else positions.with_position(df, keys)
     group = W.partitionBy(*keys)
     placed = placed.withColumns(
         {"night_first": F.min("timestamp").over(group), "night_last": F.max("timestamp").over(group)}
     )
     cut = positions.sliding(placed, rows, stride) if stride else positions.tumbling(placed, rows)
-    window_keys = [*keys, "win", "night_first", "night_last"]
+    window_keys = [*keys, "win", "night_first", "night_last", *(["rhr"] if inline else [])]
     windows = with_beats(cut, window_keys, rules.hr_above)
-    stats = window_stats(windows, window_keys)
-    if "hr_f75" in " ".join(rules.derived.values()):
-        stats = stats.join(_floor_quartiles(windows, window_keys), window_keys)
-    stats = stats.join(rhr, keys)
+    floors = "hr_f75" in " ".join(rules.derived.values())
+    stats = window_stats(with_floor_quartiles(windows, window_keys) if floors else windows, window_keys)
+    if not inline:
+        stats = stats.join(rhr, keys)
     order = W.partitionBy(*keys).orderBy("win")
     stats = stats.withColumns(
         {"prev_n_hr": F.lag("n_hr").over(order), "prev_med": F.lag("hr_med").over(order)}
@@ -396,8 +405,8 @@ def stage_windows(df: DataFrame, rules: RuleSet, rhr: DataFrame, rows: int | Non
         )
     staged = stats.withColumn("phase", F.expr(phase_sql(rules)))
     if rules.smooth:
-        smooth = sequence.smooth_isolated(staged.select(*keys, "win", "phase"), keys=keys)
-        staged = staged.drop("phase").join(smooth, [*keys, "win"])
+        kept = (*carry, *(["label"] if "label" in staged.columns else []))
+        staged = sequence.smooth_isolated(staged, keys=keys, carry=kept)
     return staged
 
 

@@ -160,6 +160,8 @@ def window_stats(df: DataFrame, keys: list[str] = NIGHT_WIN) -> DataFrame:
             F.avg("hr_surprise").alias("hr_entropy"),
             F.avg("rr_surprise").alias("rr_entropy"),
         ]
+    if "hr_f25" in df.columns:
+        aggs += [F.max("hr_f25").alias("hr_f25"), F.max("hr_f75").alias("hr_f75")]
     if "label" in df.columns:
         aggs.append(F.mode("label", True).alias("label"))
     stats = df.groupBy(*keys).agg(*aggs)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nocturne.operators import aggregates, nights, scores, sequence, series, spectral, stagers
+from nocturne.operators import aggregates, nights, scores, series, spectral, stagers
 from nocturne.operators.detection import activity_bouts
 from nocturne.operators.nights import DAY, NIGHT
 from nocturne.operators.stagers import RULE_SETS, RuleSet
+from nocturne.schema import STAGES
 
 
 def night_results(df: DataFrame, rules: RuleSet = RULE_SETS["fallback"], rows: int | None = None,
@@ -16,27 +18,31 @@ def night_results(df: DataFrame, rules: RuleSet = RULE_SETS["fallback"], rows: i
                   min_rows: int = 300) -> DataFrame:
     """Physiology, stage summary, cycles and disturbances of every night with enough rows."""
     night = nights.coverage_gate(nights.with_night(df), NIGHT, min_rows)
-    rhr = series.resting_hr(night, NIGHT, rest_rows, rest_step)
-    staged = stagers.stage_windows(night, rules, rhr, rows)
-    windows = staged.select(*NIGHT, "win", "phase", "start_ts", "last_ts")
-    window_min = 1.0
-    summary = aggregates.stage_summary(windows, window_min)
-    bounds = windows.groupBy(*NIGHT).agg(
-        F.min("start_ts").alias("onset_ts"), F.max("start_ts").alias("wake_ts")
+    staged = stagers.stage_windows(
+        night, rules, None, rows, rest_rows=rest_rows, rest_step=rest_step, carry=("start_ts", "last_ts", "rhr")
     )
-    return (
-        summary.join(rhr.select(*NIGHT, F.bround("rhr", 1).alias("rhr")), NIGHT)
-        .join(series.sws_hrv(night, NIGHT, sws_beats).select(*NIGHT, F.bround("hrv", 1).alias("hrv")), NIGHT, "left")
-        .join(spectral.respiratory_rate(night).select(*NIGHT, F.bround("resp", 1).alias("resp")), NIGHT, "left")
-        .join(sequence.deep_rem_transitions(windows), NIGHT)
-        .join(sequence.disturbances(windows), NIGHT)
-        .join(bounds, NIGHT)
-        .withColumns(
-            {
-                "sleep_hours": F.bround((F.col("total_min") - F.col("awake_min")) / 60.0, 2),
-                "onset_minute": nights.local_minute(F.col("onset_ts")),
-            }
-        )
+    before = F.lag("phase").over(W.partitionBy(*NIGHT).orderBy("win"))
+    awake = F.col("phase") == "awake"
+    marked = staged.select(*NIGHT, "win", "phase", "start_ts", "rhr", before.alias("before"))
+    n = {s: F.sum((F.col("phase") == s).cast("int")) for s in [*STAGES, "unknown"]}
+    # one aggregation for the shares, cycles, bouts and bounds of a night
+    night_row = marked.groupBy(*NIGHT).agg(
+        F.count(F.lit(1)).alias("total"), *[v.alias(s) for s, v in n.items()],
+        F.bround(F.first("rhr"), 1).alias("rhr"),
+        F.greatest(F.sum(((F.col("phase") == "rem") & (F.col("before") == "deep")).cast("int")), F.lit(1)).alias("cycles"),
+        F.sum((awake & F.coalesce(F.col("before") != "awake", F.lit(True))).cast("int")).alias("disturbances"),
+        F.sum(F.col("phase").isin("deep", "rem").cast("int")).alias("restorative_min"),
+        F.min("start_ts").alias("onset_ts"), F.max("start_ts").alias("wake_ts"),
+    )
+    asleep = F.col("total") - F.col("awake") - F.col("unknown")
+    physiology = series.sws_hrv(night, NIGHT, sws_beats).join(spectral.respiratory_rate(night), NIGHT)
+    return night_row.join(physiology, NIGHT, "left").select(
+        *NIGHT, "rhr", F.bround("hrv", 1).alias("hrv"), F.bround("resp", 1).alias("resp"), "cycles", "disturbances",
+        "restorative_min", "onset_ts", "wake_ts", F.bround(100.0 * asleep / F.col("total"), 1).alias("efficiency"),
+        *[F.bround(100.0 * F.col(s) / F.col("total"), 1).alias(f"{s}_pct") for s in STAGES],
+        F.bround(F.col("total") / 60.0, 2).alias("in_bed_hours"),
+        F.bround((F.col("total") - F.col("awake")) / 60.0, 2).alias("sleep_hours"),
+        nights.local_minute(F.col("onset_ts")).alias("onset_minute"),
     )
 
 
@@ -71,7 +77,7 @@ def full_day(df: DataFrame, max_hr: int = 200, bouts: bool = True, bout_gap_rows
     recovery = scores.recovery_engine()
     sleep = scores.sleep_score_engine()
     return joined.withColumns({**recovery, **sleep, "sleep_need": scores.sleep_need()}).drop(
-        "hrv_base", "rhr_base", "total"
+        "hrv_base", "rhr_base"
     )
 
 

@@ -49,30 +49,32 @@ def _or(value: Column, condition: Column, default: float | Column = 0.0) -> Colu
     return F.coalesce(F.when(condition, value), default)
 
 
-def windows_of(df: DataFrame, rows: int, stride: int | None = None) -> DataFrame:
-    """Night rows cut to windows, with the first and last second of the night."""
-    placed = positions.with_position(df, NIGHT)
+def windows_of(df: DataFrame, rows: int, stride: int | None = None, rest_rows: int = 300,
+               rest_step: int = 30) -> DataFrame:
+    """Night rows cut to windows, with the bounds and the resting heart rate of the night.
+
+    Positions, bounds and resting heart rate are window columns of one shuffle.
+    """
+    group = W.partitionBy(*NIGHT)
+    placed = series.with_resting_hr(df, NIGHT, rest_rows, rest_step).withColumns(
+        {"night_start": F.min("timestamp").over(group), "night_end": F.max("timestamp").over(group)}
+    )
     return positions.sliding(placed, rows, stride) if stride else positions.tumbling(placed, rows)
 
 
-def _base(windows: DataFrame, rhr: DataFrame, bounds: DataFrame, bins: bool) -> DataFrame:
-    beats = with_beats(windows, NIGHT_WIN)
-    stats = window_stats(with_bins(beats) if bins else beats)
-    placed = series.with_night_position(stats.join(bounds, NIGHT))
-    return placed.join(rhr, NIGHT)
+NIGHT_COLUMNS = ["night_start", "night_end", "rhr"]
 
 
-def night_span(df: DataFrame) -> DataFrame:
-    return df.groupBy(*NIGHT).agg(
-        F.min("timestamp").alias("night_start"), F.max("timestamp").alias("night_end")
-    )
+def _base(windows: DataFrame, bins: bool) -> DataFrame:
+    keys = [*NIGHT_WIN, *NIGHT_COLUMNS]
+    beats = with_beats(windows, keys)
+    return series.with_night_position(window_stats(with_bins(beats, keys) if bins else beats, keys))
 
 
-def features_a(windows: DataFrame, rhr: DataFrame, bounds: DataFrame, min_hr: int = 3,
-               stride_h: float = 60 / 3600) -> DataFrame:
+def features_a(windows: DataFrame, min_hr: int = 3, stride_h: float = 60 / 3600) -> DataFrame:
     """84 features per window; windows with too few heart rates are left out first, so
     the context columns see only windows with features."""
-    s = _base(windows, rhr, bounds, True).where(c("n_hr") >= min_hr)
+    s = _base(windows, True).where(c("n_hr") >= min_hr)
     n_hr, n_rr, many = c("n_hr"), c("n_rr"), c("n_rr") > 3
     clean = many & (c("n_d300") > 2)
     power = spectral.band_powers(c("rr_list"), 30)
@@ -144,9 +146,9 @@ def _context_a(f: DataFrame, stride_h: float) -> DataFrame:
     )
 
 
-def features_b(windows: DataFrame, rhr: DataFrame, bounds: DataFrame, min_hr: int = 5) -> DataFrame:
+def features_b(windows: DataFrame, min_hr: int = 5) -> DataFrame:
     """68 features per minute window with trailing means and deltas."""
-    s = _base(windows, rhr, bounds, False).where(c("n_hr") >= min_hr)
+    s = _base(windows, False).where(c("n_hr") >= min_hr)
     rr, enough = c("n_rr") >= 5, (c("n_rr") >= 5) & (c("n_d300") >= 3)
     power = spectral.band_powers(c("rr_list"), 20)
     s = s.withColumn("power", power)
