@@ -20,7 +20,9 @@ def written(build):
     def source(spark, sf):
         key = (spark.sparkContext.applicationId, sf, build.__name__)
         if key not in _WRITTEN:
-            _WRITTEN[key] = cut_lineage(build(spark, sf), build.__name__)
+            # rows grow when they become documents, so spread them over all cores first
+            spread = build(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+            _WRITTEN[key] = cut_lineage(spread, build.__name__)
         return _WRITTEN[key]
 
     return source

@@ -95,7 +95,10 @@ def _tile(part: Column, contains: str, not_before: tuple[str, ...] = ()) -> Colu
 
 
 def _day(df: DataFrame) -> DataFrame:
-    return df.withColumn("_d", F.from_json("doc", DAY_SCHEMA)).drop("doc")
+    # exploding one entry keeps the parsed document a column: used directly, every
+    # field read from it would parse the text again
+    parsed = F.explode(F.array(F.from_json("doc", DAY_SCHEMA)))
+    return df.withColumn("_d", parsed).drop("doc")
 
 
 def day_scores(df: DataFrame) -> DataFrame:
