@@ -224,7 +224,7 @@ def sub_transitions(df: DataFrame, classes: list[int], gain: float, most: float)
 
 
 def save_model(model: PipelineModel, transitions: DataFrame, path: str) -> None:
-    """Pipeline model and transition table below one path."""
+    """Fitted model and transition table below one path."""
     model.write().save(f"{path}/model")
     transitions.write.parquet(f"{path}/transitions")
 
