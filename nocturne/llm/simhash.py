@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -20,6 +20,7 @@ from .work import arrow_schema, batch, fresh, table, texts
 
 BITS = 64
 CROWD = 64
+_INDEXED = 8_000  # fingerprints for each task that makes index keys
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _FEATURES = 1 << 20
 
@@ -101,15 +102,14 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    prints = prints.select("fp")
+    prints = table(prints.select("fp"), "prints")
     keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(distance)))
-    index = prints.select("fp", F.posexplode(keys).alias("bit", "key"))
-    shared = table(
-        index.groupBy("bit", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"),
-        "variants",
-    )
-    twos = shared.where("n = 2").select("u", "v").distinct().where(_close(F.col("u"), F.col("v"), distance))
-    members = table(index.join(shared.where("n > 2").select("bit", "key", "n"), ["bit", "key"]), "members")
+    index = prints.repartition(max(1, prints.count() // _INDEXED), "fp").select("fp", F.posexplode(keys).alias("bit", "key"))
+    by_key = Window.partitionBy("bit", "key").orderBy("fp")
+    met = index.select("*", F.coalesce(F.lag("fp").over(by_key), F.lead("fp").over(by_key)).isNotNull().alias("met"))
+    members = table(met.where("met").drop("met"), "variants")
+    held = members.groupBy("bit", "key").agg(F.count("*").alias("n"))
+    members = table(members.join(held, ["bit", "key"]), "members")
     few = members.where(F.col("n") <= crowd).select("bit", "key", "fp")
     pairs = (
         few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["bit", "key"])
@@ -120,7 +120,7 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     balls = many.select("fp", F.explode(around).alias("centre"))
     hubs = balls.groupBy("centre").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = balls.join(hubs, "centre").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
-    return twos.unionByName(pairs).unionByName(stars)
+    return pairs.unionByName(stars)
 
 
 def groups(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
