@@ -63,7 +63,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def cut(tokens: np.ndarray, left: np.ndarray, window: int, gram: int):
-    """Pieces of one block: ``(start, windows, anchor hash, body hash)`` arrays.
+    """Pieces of one block: ``(start, windows, anchor hash, body hash, anchor offset)`` arrays.
 
     ``left[i]`` is the number of tokens from i to the end of i's document. Pieces end at the
     block's ends, which costs a comparison more and no match.
@@ -84,7 +84,8 @@ def cut(tokens: np.ndarray, left: np.ndarray, window: int, gram: int):
     # a piece ends where the next one opens or where windows leave their document
     closes = np.flatnonzero(whole & np.append(opens[1:] | ~whole[1:], True))
     counts = closes - starts + 1
-    return starts, counts, hashes[anchors[starts]], rolling.between(starts, starts + counts + window - 1)
+    where = anchors[starts]
+    return starts, counts, hashes[where], rolling.between(starts, starts + counts + window - 1), where - starts
 
 
 def blocks(total: int, window: int) -> Iterator[tuple[int, int]]:
@@ -107,7 +108,7 @@ def repeated(pieces: DataFrame) -> DataFrame:
 
 def first_places(pieces: DataFrame) -> DataFrame:
     """``(anchor, body, mixed, first)`` of each distinct piece; ``first`` is its smallest place."""
-    place = F.struct("doc", "tie", "start", "n")
+    place = F.struct("doc", "tie", "start", *(c for c in pieces.columns if c in ("n", "lead")))
     return pieces.groupBy("anchor", "body").agg(F.min(place).alias("first"), F.first("mixed").alias("mixed"))
 
 

@@ -54,7 +54,7 @@ def word_pieces(df: DataFrame, window: int, gram: int) -> DataFrame:
         for a, b in P.blocks(len(tokens), window):
             found = P.cut(tokens[a:b], left[a:b], window, gram)
             if found is not None:
-                starts, counts, anchors, bodies = found
+                starts, counts, anchors, bodies, _ = found
                 who = owner[starts + a]
                 ids = np.array(docs, np.int64)[who]
                 yield batch(_PIECES, ids[:, 0], ids[:, 1], starts + a - begins[who], counts, anchors.view(np.int64), bodies.view(np.int64))
