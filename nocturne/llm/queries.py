@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, quality, simhash, substring, suffix, tokens
+from nocturne.session import work_folder
+
+from . import containment, language, licenses, quality, sharding, simhash, substring, suffix, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,14 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeated_strings(_table(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir)).drop("spans")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = containment.contained_items(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return pairs.select("doc_id", "item_id", "n_shingles", "n_shared")
@@ -34,10 +44,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    records = warc.parse(warc.read_records(spark, path))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(_table(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(_table(spark, sf_dir))
 
@@ -45,7 +66,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_simhash_near_dedup, op2_suffix_array_dedup, op5_benchmark_decontamination, op6_quality_rules, op8_byte_bpe, op10_substring_dedup,
+        op1_simhash_near_dedup, op2_suffix_array_dedup, op3_license_scan, op4_language_id, op5_benchmark_decontamination,
+        op6_quality_rules, op7_warc, op8_byte_bpe, op9_sharding, op10_substring_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
