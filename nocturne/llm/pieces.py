@@ -97,11 +97,13 @@ def blocks(total: int, window: int) -> Iterator[tuple[int, int]]:
 def repeated(pieces: DataFrame) -> DataFrame:
     """The pieces whose anchor occurs twice or more, with ``mixed``: whether in pieces that differ.
 
-    Anchors are counted with map-side aggregates; the counted keys come back by a join.
+    Anchors are counted with map-side aggregates; the counted keys come back by a join of two
+    tables, whose hot keys Spark can split.
     """
-    counted = (
+    counted = table(
         pieces.groupBy("anchor").agg(F.count("*").alias("times"), F.min("body").alias("low"), F.max("body").alias("high"))
-        .where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+        .where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")),
+        "shared-anchors",
     )
     return pieces.join(counted, "anchor")
 
@@ -121,6 +123,7 @@ def earlier_windows(windows: DataFrame) -> DataFrame:
     """The rows of ``(digest, doc, tie, start)`` whose digest has a smaller place."""
     place = F.struct("doc", "tie", "start")
     first = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = table(first.drop("times"), "first-windows")
     return windows.join(first, "digest").where(place > F.col("first")).select("doc", "tie", "start")
 
 

@@ -108,7 +108,7 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     by_key = Window.partitionBy("bit", "key").orderBy("fp")
     met = index.select("*", F.coalesce(F.lag("fp").over(by_key), F.lead("fp").over(by_key)).isNotNull().alias("met"))
     members = table(met.where("met").drop("met"), "variants")
-    held = members.groupBy("bit", "key").agg(F.count("*").alias("n"))
+    held = table(members.groupBy("bit", "key").agg(F.count("*").alias("n")), "held")
     members = table(members.join(held, ["bit", "key"]), "members")
     few = members.where(F.col("n") <= crowd).select("bit", "key", "fp")
     pairs = (

@@ -119,12 +119,11 @@ def _repeats_in(rows: pa.Table, window: int):
     row, place = row[alive], start[row[alive]] + offset[alive]
     order = np.lexsort((place, tie[row], doc[row], group))
     row, place, group = row[order], place[order], group[order]
-    same = (doc[row][1:] == doc[row][:-1]) & (tie[row][1:] == tie[row][:-1]) & (place[1:] == place[:-1])
-    first = np.append(True, group[1:] != group[:-1])[: len(group)]
+    opens = np.append(True, group[1:] != group[:-1])[: len(group)]
+    head = np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(group) else row
     # a place listed twice is no repeat of itself
-    for i in np.flatnonzero(same & first[:-1]):
-        first[i + 1] = True
-    row, place = row[~first], place[~first]
+    later = (doc[row] != doc[row[head]]) | (tie[row] != tie[row[head]]) | (place != place[head])
+    row, place = row[later], place[later]
     order = np.lexsort((place, tie[row], doc[row]))
     row, place = row[order], place[order]
     if not len(row):
