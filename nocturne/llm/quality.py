@@ -63,23 +63,40 @@ def _repeated_words(words: Column, n: Column, low: Column) -> Column:
     return _with(codes, covered)
 
 
-def rules(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``.
-
-    Null texts are empty: no words, and they fail. Columns of these names are replaced.
-    """
-    words = fresh(df, "words")
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    counted = df.withColumn(words, words_of(t)).withColumns({
+def _figures(text: Column, words: Column) -> dict[str, Column]:
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
+    return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(t, _SPACES, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, _SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.translate(text, _SPACES, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
         "n_dup_lines": _with(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(F.col(words)),
-    })
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop(words)
+    }
+
+
+def verdict(text: Column, weights: Column, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> Column:
+    """A struct of ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``llr``, ``kept``.
+
+    Null texts are empty: no words, and they fail. ``llr`` is the mean weight of the text's words and
+    word pairs, null without words. The words are split once for each row, whatever the plan
+    does with the expression.
+    """
+
+    def ratio(words: Column) -> Column:
+        each = F.transform(words, lambda x, i: F.get(weights, _bucket(x, buckets=buckets)) + F.coalesce(
+            F.when(i + 1 < F.size(words), F.get(weights, _bucket(x, F.get(words, i + 1), buckets=buckets))), F.lit(0.0)
+        ))
+        return F.when(F.size(words) > 0, F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / (2 * F.size(words) - 1))
+
+    def decide(words: Column, repeats: Column, llr: Column) -> Column:
+        n = F.size(words)
+        failed = (n < 50) | (100 * repeats > 50 * n)
+        figures = [c.alias(name) for name, c in _figures(t, words).items()]
+        return F.struct(*figures, repeats.alias("n_repeat_words"), failed.alias("base_failed"), llr.alias("llr"), (~failed & (F.coalesce(llr, F.lit(0.0)) >= threshold)).alias("kept"))
+
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return _with(words_of(t), lambda words: _with(
+        F.struct(repeated_words(words).alias("repeats"), ratio(words).alias("llr")), lambda x: decide(words, x.getField("repeats"), x.getField("llr"))
+    ))
 
 
 def _bucket(*parts: Column, buckets: int) -> Column:
@@ -120,37 +137,30 @@ def weights(corpus: DataFrame, target: DataFrame, text: str = "text", buckets: i
     return one.agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).getField("w").alias("weights"))
 
 
-def scored(df: DataFrame, model: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``llr``, the mean weight of the text's words and word pairs; null without words."""
-    words = fresh(df, "words")
-    # ``buckets`` numbers, spelt as text so that the plan holds one constant
-    numbers = ",".join(map(repr, model.first()["weights"]))
-    w = F.split(F.lit(numbers), ",").cast("array<double>")
+def _constant(model: DataFrame) -> Column:
+    """The ``buckets`` weights, spelt as text so that the plan holds one constant."""
+    return F.split(F.lit(",".join(map(repr, model.first()["weights"]))), ",").cast("array<double>")
 
-    def one(words: Column) -> Column:
-        pairs = F.transform(words, lambda x, i: F.get(w, _bucket(x, buckets=buckets)) + F.coalesce(
-            F.when(i + 1 < F.size(words), F.get(w, _bucket(x, F.get(words, i + 1), buckets=buckets))), F.lit(0.0)
-        ))
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
-    n = 2 * F.size(words) - 1
-    return df.withColumn(words, words_of(F.col(text).cast("string"))).withColumn("llr", F.when(F.size(words) > 0, one(F.col(words)) / n)).drop(words)
+def _verdicts(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, threshold: float, buckets: int, trusted_rows: int) -> Column:
+    model = table(weights(docs, trusted(docs, labels, doc_id, trusted_rows), text, buckets), "weights")
+    return verdict(F.col(text), _constant(model), threshold, buckets)
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS,
           trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """``docs`` with the columns of ``rules``, ``llr`` and ``kept``, one row per row.
+    """``docs`` with the columns of ``verdict``, one row per row; columns of these names are replaced.
 
     A document is kept if it passes the fixed rules and its mean log ratio is ``threshold`` or
     more. The corpus counts cover all of ``docs``.
     """
-    model = table(weights(docs, trusted(docs, labels, doc_id, trusted_rows), text, buckets), "weights")
-    judged = scored(rules(docs, text), model, text, buckets)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= threshold))
+    found = fresh(docs, "verdict")
+    judged = docs.withColumn(found, _verdicts(docs, labels, doc_id, text, threshold, buckets, trusted_rows))
+    names = judged.schema[found].dataType.names
+    return judged.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names), *(F.col(found).getField(n).alias(n) for n in names))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS,
+              trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """The kept rows of ``docs`` with its own columns, values unchanged."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    inner = docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return judge(inner, labels, **options).where("kept").select("row.*")
+    return docs.where(_verdicts(docs, labels, doc_id, text, threshold, buckets, trusted_rows).getField("kept"))
