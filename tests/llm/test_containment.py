@@ -14,7 +14,7 @@ def shingles(text):
 
 def tables(spark, hard):
     items = [(i, prose(200 + i, 12 + 9 * i)) for i in range(8)] + [(20, None), (21, ""), (22, "one two"), (23, prose(99, 60)), (None, prose(1, 30)), (4, prose(300, 30))]
-    docs = [(500 + i, f"{prose(i, 50)} {edited(t, i, s)} {prose(i + 9, 2000)}", None, None, 1) for i, (_, t) in enumerate(items[:8]) for s in (0.0, 0.03, 0.1)]
+    docs = [(500 + 3 * i + j, f"{prose(i, 50)} {edited(t, i, s)} {prose(i + 9, 2000)}", None, None, 1) for i, (_, t) in enumerate(items[:8]) for j, s in enumerate((0.0, 0.03, 0.1))]
     extra = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     return hard.select("doc_id", "text", "lang", "source", "n_chars").union(extra), spark.createDataFrame(items, "item_id long, text string")
 
