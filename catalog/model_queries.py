@@ -7,7 +7,7 @@ from catalog.base import cte, query, sql
 from catalog.daily_queries import pairs
 from catalog.stage_queries import a23, phases
 from catalog.window_queries import night_bounds, night_rows, window_frame, window_labels, with_bounds
-from nocturne.operators import evaluate, order_stats, sequence
+from nocturne.operators import decoding, evaluate, order_stats, sequence
 from nocturne.operators.nights import NIGHT
 from nocturne.operators.window_stats import NIGHT_WIN
 from nocturne.plans import features, models
@@ -214,7 +214,7 @@ def viterbi_sql(source: str, trans: np.ndarray, init: np.ndarray, temperature: f
 
 @query("q7_viterbi", sql("SELECT user_id, night, win, state FROM tr", "emit", recursive=True, extra=viterbi_sql("emit", TRANS, INIT, 0.6)))
 def q7(spark, sf):
-    return sequence.viterbi(emissions(spark, sf), TRANS, INIT, 0.6)
+    return decoding.viterbi(emissions(spark, sf), TRANS, INIT, 0.6)
 
 
 @query("q8_context_blend", sql("SELECT user_id, night, win, b0 / greatest(b0 + b1 + b2 + b3, 1e-10) AS p0, b1 / greatest(b0 + b1 + b2 + b3, 1e-10) AS p1, b2 / greatest(b0 + b1 + b2 + b3, 1e-10) AS p2, b3 / greatest(b0 + b1 + b2 + b3, 1e-10) AS p3 FROM bl",
@@ -225,7 +225,7 @@ def q7(spark, sf):
              SELECT e.user_id, e.night, e.win, e.i, {', '.join(f'0.8 * p{k} + 0.2 * list_avg(h{k}) AS b{k}' for k in range(4))}, {', '.join(f'h{k}' for k in range(4))}
              FROM bl JOIN e ON e.user_id = bl.user_id AND e.night = bl.night AND e.i = bl.i + 1))"""))
 def q8(spark, sf):
-    return sequence.context_blend(emissions(spark, sf))
+    return decoding.context_blend(emissions(spark, sf))
 
 
 @query("q9_position_prior", sql(f"""
@@ -251,12 +251,12 @@ LOG3 = np.log(np.array([[0.8, 0.1, 0.1], [0.25, 0.7, 0.05], [0.2, 0.05, 0.75]]))
 
 @query("q11_cascade_decode")
 def q11(spark, sf):
-    return sequence.cascade_decode(emissions(spark, sf), 0.7, 0.5, PRIOR, LOG2, np.log([0.6, 0.4]))
+    return decoding.cascade_decode(emissions(spark, sf), 0.7, 0.5, PRIOR, LOG2, np.log([0.6, 0.4]))
 
 
 @query("q12_hierarchical_decode")
 def q12(spark, sf):
-    return sequence.hierarchical_decode(emissions(spark, sf), 0.7, PRIOR, LOG3, np.log([0.5, 0.3, 0.2]))
+    return decoding.hierarchical_decode(emissions(spark, sf), 0.7, PRIOR, LOG3, np.log([0.5, 0.3, 0.2]))
 
 
 @query("q13_gate_override", sql("""
@@ -275,7 +275,7 @@ def q13(spark, sf):
 @query("q14_quota_decode")
 def q14(spark, sf):
     e = emissions(spark, sf).withColumn("awake_target", F.lit(0.25))
-    return sequence.quota_decode(e, PRIOR, np.log(TRANS), np.log(INIT))
+    return decoding.quota_decode(e, PRIOR, np.log(TRANS), np.log(INIT))
 
 
 @query("q15_two_stage", sql("""

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.operators import evaluate, sequence
+from nocturne.operators import decoding, evaluate, sequence
 from nocturne.operators.joins import sweep
 from nocturne.operators.nights import NIGHT
 from nocturne.operators.window_stats import NIGHT_WIN
@@ -241,7 +241,7 @@ def score_nights(model: PipelineModel, gate: PipelineModel, transitions: DataFra
         trans[r["a"], r["b"]] = r["p"]
     probs = stage_probabilities(model, windows, features)
     probs = gate_probability(gate, probs, features, "p_awake")
-    path = sequence.viterbi(probs, trans, np.full(4, 0.25), blend=0.2)
+    path = decoding.viterbi(probs, trans, np.full(4, 0.25), blend=0.2)
     from nocturne.functions.scalars import stage_name
 
     named = path.withColumn("phase", stage_name(F.col("state"))).join(

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from nocturne.operators import sequence, spectral
+from nocturne.operators import decoding, sequence, spectral
 
 RNG = np.random.default_rng(7)
 TRANS = np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.05, 0.1, 0.8, 0.05], [0.1, 0.1, 0.05, 0.75]])
@@ -25,7 +25,7 @@ def frame(spark, nights=6, steps=30):
 def test_viterbi_is_the_best_of_all_paths(spark):
     df, rows = frame(spark, 3, 6)
     got = {}
-    for r in sequence.viterbi(df, TRANS, INIT).collect():
+    for r in decoding.viterbi(df, TRANS, INIT).collect():
         got.setdefault(r["user_id"], {})[r["win"]] = r["state"]
     for n in range(3):
         p = np.log([r[3:7] for r in rows if r[0] == n])
@@ -72,8 +72,8 @@ def test_cascade_and_hierarchy(spark):
     prior = 0.5 + RNG.random((10, 4))
     l2, l3 = np.log([[0.8, 0.2], [0.3, 0.7]]), np.log([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.2, 0.1, 0.7]])
     i2, i3 = np.log([0.6, 0.4]), np.log([0.5, 0.3, 0.2])
-    cascade = {(r["user_id"], r["win"]): r["state"] for r in sequence.cascade_decode(df, 0.7, 0.6, prior, l2, i2).collect()}
-    tree = {(r["user_id"], r["win"]): r["state"] for r in sequence.hierarchical_decode(df, 0.7, prior, l3, i3).collect()}
+    cascade = {(r["user_id"], r["win"]): r["state"] for r in decoding.cascade_decode(df, 0.7, 0.6, prior, l2, i2).collect()}
+    tree = {(r["user_id"], r["win"]): r["state"] for r in decoding.hierarchical_decode(df, 0.7, prior, l3, i3).collect()}
     for n in range(6):
         mine = [r for r in rows if r[0] == n]
         p = np.array([r[3:7] for r in mine])
@@ -98,7 +98,7 @@ def test_quota_search(spark):
     df, rows = frame(spark, 4, 60)
     prior = 0.5 + RNG.random((10, 4))
     lt, li = np.log(TRANS), np.log(INIT)
-    got = {(r["user_id"], r["win"]): r["state"] for r in sequence.quota_decode(df, prior, lt, li).collect()}
+    got = {(r["user_id"], r["win"]): r["state"] for r in decoding.quota_decode(df, prior, lt, li).collect()}
     for n in range(4):
         mine = [r for r in rows if r[0] == n]
         p = np.array([r[3:7] for r in mine])
