@@ -82,8 +82,8 @@ def query(name: str, oracle: str | None = None, digits: int = 6):
 
 def _sensor_sql(step: int) -> str:
     return f"""
-    SELECT l_suppkey + (rn0 // 20000) * 10000000000 AS user_id,
-           CAST(1704135600 + (rn0 % 20000) * {step} AS BIGINT) AS ts,
+    SELECT l_suppkey AS user_id,
+           CAST(1704135600 + rn0 * {step} AS BIGINT) AS ts,
            hr, CASE WHEN hr > 0 THEN 1 ELSE 0 END AS rr_count,
            CASE WHEN hr > 0 THEN 60000.0E0 / hr + (l_linenumber - 4) * 15.0E0 END AS rr,
            CASE WHEN hr > 0 AND l_linenumber > 4 THEN 60000.0E0 / hr - 10.0E0 END AS rr2,

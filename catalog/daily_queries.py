@@ -149,8 +149,7 @@ def sc12(spark, sf):
 @query("sc13_strain_coach", sql("""
     SELECT user_id, date, CASE WHEN recovery >= 67 THEN 'green' WHEN recovery >= 34 THEN 'yellow' ELSE 'red' END AS zone,
       CASE WHEN recovery >= 67 THEN 14 WHEN recovery >= 34 THEN 8 ELSE 0 END AS target_min, CASE WHEN recovery >= 67 THEN 18 WHEN recovery >= 34 THEN 14 ELSE 8 END AS target_max,
-      CASE WHEN recovery >= 67 THEN 'Your body is ready' WHEN recovery >= 34 THEN 'Moderate day' ELSE 'Focus on rest' END AS headline,
-      CASE WHEN recovery >= 67 THEN 'Target strain 14-18. Push yourself today.' WHEN recovery >= 34 THEN 'Target strain 8-14. Keep it moderate.' ELSE 'Keep strain under 8. Prioritize recovery.' END AS recommendation
+      CASE WHEN recovery >= 67 THEN 'push' WHEN recovery >= 34 THEN 'moderate' ELSE 'rest' END AS advice
     FROM daily""", "daily"))
 def sc13(spark, sf):
     return daily_scores(spark, sf).select("user_id", "date", *[c.alias(n) for n, c in scores.strain_target().items()])
@@ -158,15 +157,14 @@ def sc13(spark, sf):
 
 @query("sc13_sleep_coach", sql("""
     SELECT user_id, date, printf('%02d:%02d', b // 60, b % 60) AS bedtime,
-      CASE WHEN debt <= 0 THEN 'No sleep debt' WHEN floor(debt) = 0 THEN printf('%dm debt', CAST(floor((debt - floor(debt)) * 60 + 0.5) AS INT))
-           ELSE printf('%dh %dm debt', CAST(floor(debt) AS INT), CAST(floor((debt - floor(debt)) * 60 + 0.5) AS INT)) END AS debt
+      CAST(greatest(floor(debt * 60 + 0.5), 0) AS BIGINT) AS debt_minutes
     FROM (SELECT *, (m - CAST(floor(sleep_hours * 60 + 0.5) AS INT) - 15 + 1440) % 1440 AS b, (v - 100) / 4.0 AS debt
           FROM (SELECT *, CAST(300 + recovery * 3 AS INT) AS m, CAST(efficiency AS INT) AS v FROM daily))""", "daily"))
 def sc13_sleep(spark, sf):
     d = daily_scores(spark, sf)
     return d.select(
         "user_id", "date", scores.bedtime("sleep_hours", (300 + F.col("recovery") * 3).cast("int")).alias("bedtime"),
-        scores.sleep_debt_text((F.col("efficiency") - 100) / 4).alias("debt"),
+        scores.sleep_debt_minutes((F.col("efficiency") - 100) / 4).alias("debt_minutes"),
     )
 
 
@@ -178,13 +176,12 @@ cte("recovery7", "daily", """
 
 
 @query("sc14_insights", sql("""
-    SELECT user_id, kind, title FROM (
-      SELECT user_id, 'heart' AS kind, 'Strong HRV' AS title FROM s WHERE rmssd > 60 UNION ALL SELECT user_id, 'warning', 'Low HRV' FROM s WHERE rmssd > 0 AND rmssd < 30
-      UNION ALL SELECT user_id, 'streak', printf('%d-Day Green Streak', streak) FROM s WHERE streak >= 3
-      UNION ALL SELECT user_id, 'alert', 'Recovery Deficit' FROM s WHERE red_days > green_days AND days >= 5
-      UNION ALL SELECT user_id, 'avg', printf('Weekly Avg: %d%%', CAST(floor(avg_recovery + 0.5) AS INT)) FROM s WHERE avg_recovery > 0
-      UNION ALL SELECT user_id, 'info', 'Sync More Data' FROM s WHERE NOT (rmssd > 60 OR (rmssd > 0 AND rmssd < 30) OR streak >= 3 OR (red_days > green_days AND days >= 5) OR avg_recovery > 0))""",
-    "recovery7", extra="s AS (SELECT r.*, m.rmssd FROM recovery7 r JOIN (SELECT user_id, avg(hrv) AS rmssd FROM daily GROUP BY 1) m ON m.user_id = r.user_id)"))
+    SELECT user_id, insight, value FROM (
+      SELECT user_id, 'high_hrv' AS insight, rmssd AS value FROM s WHERE rmssd > 60 UNION ALL SELECT user_id, 'low_hrv', rmssd FROM s WHERE rmssd > 0 AND rmssd < 30
+      UNION ALL SELECT user_id, 'green_streak', streak FROM s WHERE streak >= 3 UNION ALL SELECT user_id, 'recovery_deficit', red_days FROM s WHERE red_days > green_days AND days >= 5
+      UNION ALL SELECT user_id, 'weekly_average', floor(avg_recovery + 0.5) FROM s WHERE avg_recovery > 0
+      UNION ALL SELECT user_id, 'more_data', NULL FROM s WHERE NOT (rmssd > 60 OR (rmssd > 0 AND rmssd < 30) OR streak >= 3 OR (red_days > green_days AND days >= 5) OR avg_recovery > 0))""",
+    "recovery7", extra="s AS (SELECT r.*, m.rmssd FROM recovery7 r JOIN (SELECT user_id, avg(hrv) AS rmssd FROM daily GROUP BY 1) m ON m.user_id = r.user_id)", doubles="value"))
 def sc14(spark, sf):
     d = daily_scores(spark, sf)
     summary = trends.recovery_analysis(d).join(d.groupBy("user_id").agg(F.avg("hrv").alias("rmssd")), "user_id")
@@ -192,16 +189,15 @@ def sc14(spark, sf):
 
 
 @query("sc14_stress_recovery", sql("""
-    SELECT user_id, date, CASE WHEN sleep > 66 AND recovery < 50 THEN 'High stress is likely impacting your recovery. Consider active recovery today.'
-      WHEN sleep < 34 AND recovery > 66 THEN 'Low stress is supporting your recovery. Great balance!' ELSE 'Monitor how stress changes affect your next recovery score.' END AS insight FROM daily""", "daily"))
+    SELECT user_id, date, CASE WHEN sleep > 66 AND recovery < 50 THEN 'high_stress_low_recovery'
+      WHEN sleep < 34 AND recovery > 66 THEN 'low_stress_high_recovery' ELSE 'watch' END AS insight FROM daily""", "daily"))
 def sc14_stress(spark, sf):
     return daily_scores(spark, sf).select("user_id", "date", scores.stress_recovery_insight("sleep").alias("insight"))
 
 
 @query("sc15_weather_advice", sql("""
-    SELECT o_orderkey, CASE WHEN t < 5 THEN 'Cold today -- extend warm-up' WHEN t > 30 THEN 'Hot today -- stay hydrated, reduce intensity'
-      WHEN k BETWEEN 61 AND 67 THEN 'Rain expected -- consider indoor workout' WHEN k BETWEEN 71 AND 77 THEN 'Snow expected -- be cautious outdoors'
-      WHEN w > 40 THEN 'Windy conditions -- adjust outdoor plans' ELSE '' END AS advice
+    SELECT o_orderkey, CASE WHEN t < 5 THEN 'cold' WHEN t > 30 THEN 'hot' WHEN k BETWEEN 61 AND 67 THEN 'rain'
+      WHEN k BETWEEN 71 AND 77 THEN 'snow' WHEN w > 40 THEN 'wind' ELSE 'none' END AS advice
     FROM (SELECT o_orderkey, o_custkey % 40 AS t, o_orderkey % 100 AS k, o_custkey % 60 AS w FROM orders)"""))
 def sc15(spark, sf):
     o = table(spark, sf, "orders")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures
 from catalog.base import cte, query, sql
 from nocturne.operators.nights import local_minute
+from nocturne.schema import SPORTS
 from nocturne.session import work_folder
 from nocturne.sources import documents, packets
 from nocturne.sources import sensor as tables
@@ -426,14 +427,17 @@ def workout_documents(spark, sf):
     return o.select(F.to_json(doc).alias("doc"))
 
 
+_SPORTS = ", ".join("({}, '{}')".format(k, v.replace("'", "''")) for k, v in SPORTS.items())
+
+
 @query("io19_workouts", sql("""
-    SELECT sport_id, CASE sport_id WHEN 0 THEN 'Running' WHEN 1 THEN 'Cycling' WHEN 16 THEN 'Baseball' WHEN 33 THEN 'Swimming' WHEN 44 THEN 'Yoga' WHEN 2 THEN 'Activity' END AS name, count(*) AS n, sum(strain) AS strain,
+    SELECT sport_id, coalesce(sport_name, 'Activity') AS name, count(*) AS n, sum(strain) AS strain,
            sum(kcal) AS kcal, sum(duration_s) AS duration_s, sum(distance) AS distance_km, min(start_ts) AS first_ts FROM (
       SELECT o_custkey % 60 AS sport_id, (o_orderkey % 211) / 10.0 AS strain, round((o_orderkey % 3000) / 4.184) AS kcal, (o_orderkey % 9000) / 1000.0 AS distance,
              CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 5000 WHEN 1 THEN o_orderkey % 4000 ELSE 1800 + o_orderkey % 600 END AS duration_s, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 20) * 1800 AS start_ts FROM orders)
-    WHERE sport_id IN (0, 1, 2, 16, 33, 44) GROUP BY 1, 2""", "", "strain kcal duration_s distance_km"))
+    LEFT JOIN sports USING (sport_id) GROUP BY 1, 2""", "", "strain kcal duration_s distance_km", extra=f"sports(sport_id, sport_name) AS (VALUES {_SPORTS})"))
 def io19(spark, sf):
-    w = documents.workouts(workout_documents(spark, sf)).where(F.col("sport_id").isin(0, 1, 2, 16, 33, 44))
+    w = documents.workouts(workout_documents(spark, sf))
     return w.groupBy("sport_id", "name").agg(
         F.count(F.lit(1)).alias("n"), F.sum("strain").alias("strain"), F.sum("kcal").alias("kcal"), F.sum("duration_s").alias("duration_s"),
         F.sum("distance_km").alias("distance_km"), F.min("start_ts").alias("first_ts"),

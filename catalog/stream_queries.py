@@ -9,9 +9,7 @@ from nocturne.sources.adapters import daily_scores, table
 from nocturne.streaming import live
 
 
-def events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    s = live.read_stream(spark, sf, schema, "events.parquet")
+def shaped(s):
     t = F.col("ts").cast("timestamp")
     return s.select(
         "user_id", "event_id", "event_type", t.alias("event_time"), F.floor(F.unix_micros(t) / 1_000_000).alias("timestamp"),
@@ -19,6 +17,31 @@ def events(spark, sf):
     )
 
 
+PARTS = 3
+_FOLDERS = {}
+
+
+def event_parts(spark, sf):
+    """A folder with ``events`` in ``PARTS`` files by event id, written one after the other as a device sends
+    them; once per application and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FOLDERS:
+        rows = shaped(table(spark, sf, "events"))
+        cuts = rows.agg(F.percentile_approx("event_id", [i / PARTS for i in range(1, PARTS)], 10000)).first()[0] or []
+        part = sum([(F.col("event_id") > c).cast("int") for c in cuts], F.lit(0))
+        folder = work_folder(spark, "event-parts")
+        for i in range(PARTS):
+            rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+def events(spark, sf, folder=None):
+    """The stream of events, a batch for each file."""
+    schema = shaped(table(spark, sf, "events")).schema
+    return live.read_stream(spark, folder or event_parts(spark, sf), schema, "*.parquet", files_per_batch=1)
+
+
 def drained(spark, stream, name, mode="append", keys=None):
     target = live.run_available(stream, work_folder(spark, name), mode)
     if keys:
@@ -77,9 +100,16 @@ def s6(spark, sf):
       SELECT *, sum(CASE WHEN gap < 6 * 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (
         SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM {_E} WHERE hr >= 60)) GROUP BY user_id, k""", "", "avg_hr"))
 def s7(spark, sf):
-    # sessions only leave the state when the watermark passes them, so all are emitted once at the end
-    stream = live.activity_sessions(events(spark, sf), 60, "6 hours")
-    return drained(spark, stream, "s7", "complete")
+    schema = shaped(table(spark, sf, "events")).schema
+    source, folder = work_folder(spark, "s7-source"), work_folder(spark, "s7")
+    rows = spark.read.schema(schema).parquet(event_parts(spark, sf))
+    rows.write.parquet(source)
+    stream = live.activity_sessions(events(spark, sf, source), 60, "6 hours")
+    live.run_available(stream, folder)
+    # the same query goes on with the closing row, which emits the sessions still open
+    live.closing_row(rows, 60, "27 days").write.mode("append").parquet(source)
+    target = live.run_available(stream, folder)
+    return live.written_rows(spark, target, stream.schema).drop("batch").where(F.col("user_id") != live.CLOSER)
 
 
 @written

@@ -1,8 +1,8 @@
 """Exact order statistics over a whole table without a single-task sort.
 
-Equal values are counted before the shuffle, so ties cost nothing. Values are
-split at approximate quantiles into slices; each slice is ranked in its own
-task, and slice totals (one row per slice) give the offset.
+Equal values are counted before the shuffle, so ties cost nothing. The counts are written once,
+range-partitioned by value; each range is ranked in its own task, and range totals (one row
+each) give the offset. Spark's shuffle partitions set the number of ranges.
 """
 
 from __future__ import annotations
@@ -11,31 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 256
+from nocturne.session import cut_lineage
 
 
-def value_counts(df: DataFrame, value: str, counts: dict[str, Column], slices: int = SLICES) -> DataFrame:
+def value_counts(df: DataFrame, value: str, counts: dict[str, Column]) -> DataFrame:
     """One row per distinct value with running totals of every count.
 
-    ``before_<name>`` sums the counts of all smaller values.
+    ``before_<name>`` sums the counts of all smaller values. The counts are computed here and now.
     """
     per_value = df.where(F.col(value).isNotNull()).groupBy(value).agg(
         *[F.sum(c).cast("long").alias(n) for n, c in counts.items()]
     )
-    cuts = [F.lit(i / slices) for i in range(1, slices)]
-    # a scalar subquery: one array of at most SLICES numbers
-    bounds = per_value.agg(F.percentile_approx(value, F.array(*cuts), 10000)).scalar()
-    cut = per_value.withColumn("_bounds", bounds).withColumn(
-        "_slice", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
+    cut = cut_lineage(per_value.repartitionByRange(value).withColumn("_slice", F.spark_partition_id()), "value-counts")
     totals = cut.groupBy("_slice").agg(*[F.sum(n).alias(f"_t_{n}") for n in counts])
-    # SLICES rows at most
+    # a row for each range
     earlier = W.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in counts]
     )
     inside = W.partitionBy("_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = cut.join(F.broadcast(offsets), "_slice")
+    ranked = cut.join(offsets, "_slice")
     return ranked.select(
         value, *counts,
         *[(F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_o_{n}")).alias(f"before_{n}") for n in counts],

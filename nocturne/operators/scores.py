@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nocturne.functions.scalars import clamp, correlation_strength, hhmm, recovery_zone, sigmoid100
+from nocturne.functions.scalars import clamp, hhmm, recovery_zone, sigmoid100
 from nocturne.operators.aggregates import bounded_score, coverage_scale
 
 
@@ -18,6 +18,8 @@ def _rhr_part(rhr: Column, base: Column, scale: float) -> Column:
     return clamp(50.0 + (base - rhr) * scale, 0.0, 100.0)
 
 
+# The weights, bases, slopes and cut-offs in the expressions below.
+
 # ------------------------------------------------------------------- recovery
 
 
@@ -143,18 +145,12 @@ def vo2max(p99="hr_p99", rhr="rhr", valid="n_hr30") -> Column:
 
 
 def strain_target(recovery="recovery") -> dict[str, Column]:
+    """Zone, range of strain for the day, and advice as a code."""
     r = _col(recovery)
-    low = F.when(r >= 67, 14).when(r >= 34, 8).otherwise(0)
-    high = F.when(r >= 67, 18).when(r >= 34, 14).otherwise(8)
-    text = (
-        F.when(r >= 67, F.format_string("Target strain %d-%d. Push yourself today.", low, high))
-        .when(r >= 34, F.format_string("Target strain %d-%d. Keep it moderate.", low, high))
-        .otherwise(F.format_string("Keep strain under %d. Prioritize recovery.", high))
-    )
-    headline = F.when(r >= 67, "Your body is ready").when(r >= 34, "Moderate day").otherwise("Focus on rest")
+    by_zone = lambda green, yellow, red: F.when(r >= 67, green).when(r >= 34, yellow).otherwise(red)
     return {
-        "zone": recovery_zone(r), "target_min": low, "target_max": high, "headline": headline,
-        "recommendation": text,
+        "zone": recovery_zone(r), "target_min": by_zone(14, 8, 0), "target_max": by_zone(18, 14, 8),
+        "advice": by_zone("push", "moderate", "rest"),
     }
 
 
@@ -163,68 +159,44 @@ def bedtime(need_h="need_h", wake_minute="wake_minute") -> Column:
     return hhmm(_col(wake_minute) - F.floor(_col(need_h) * 60 + 0.5) - 15)
 
 
-def sleep_debt_text(debt_h="debt_h") -> Column:
-    d = _col(debt_h)
-    h = F.floor(d).cast("int")
-    m = F.floor((d - h) * 60 + 0.5).cast("int")
-    return (
-        F.when(d <= 0, "No sleep debt").when(h == 0, F.format_string("%dm debt", m))
-        .otherwise(F.format_string("%dh %dm debt", h, m))
-    )
+def sleep_debt_minutes(debt_h="debt_h") -> Column:
+    """Sleep debt in whole minutes, 0 if there is none."""
+    return F.greatest(F.floor(_col(debt_h) * 60 + 0.5), F.lit(0)).cast("int")
 
 
 def weather_advice(temperature="temperature", code="weather_code", wind="wind_kmh") -> Column:
+    """The first hindrance to training outdoors as a code, ``none`` without one."""
     t, k, w = _col(temperature), _col(code), _col(wind)
-    return (
-        F.when(t < 5, "Cold today -- extend warm-up")
-        .when(t > 30, "Hot today -- stay hydrated, reduce intensity")
-        .when(k.between(61, 67), "Rain expected -- consider indoor workout")
-        .when(k.between(71, 77), "Snow expected -- be cautious outdoors")
-        .when(w > 40, "Windy conditions -- adjust outdoor plans")
-        .otherwise("")
-    )
+    checks = [(t < 5, "cold"), (t > 30, "hot"), (k.between(61, 67), "rain"), (k.between(71, 77), "snow"), (w > 40, "wind")]
+    return F.coalesce(*[F.when(met, name) for met, name in checks], F.lit("none"))
 
 
 # ------------------------------------------------------------------- insights
 
 
 def insights(df: DataFrame) -> DataFrame:
-    """Insight rows from one summary row per user: ``rmssd``, ``streak``, ``red_days``,
+    """Insight codes with their figure from one summary row per user: ``rmssd``, ``streak``, ``red_days``,
     ``green_days``, ``days`` and ``avg_recovery``."""
-
-    def item(condition: Column, kind: str, title: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(kind).alias("kind"), title.alias("title")))
-
     c = F.col
     known = c("days") > 0
-    items = [
-        item(c("rmssd") > 60, "heart", F.lit("Strong HRV")),
-        item((c("rmssd") > 0) & (c("rmssd") < 30), "warning", F.lit("Low HRV")),
-        item(known & (c("streak") >= 3), "streak", F.format_string("%d-Day Green Streak", c("streak"))),
-        item(known & (c("red_days") > c("green_days")) & (c("days") >= 5), "alert", F.lit("Recovery Deficit")),
-        item(
-            known & (c("avg_recovery") > 0), "avg",
-            F.format_string("Weekly Avg: %d%%", F.floor(c("avg_recovery") + 0.5).cast("int")),
-        ),
-    ]
-    found = F.filter(F.array(*items), lambda x: x.isNotNull())
-    default = F.array(F.struct(F.lit("info").alias("kind"), F.lit("Sync More Data").alias("title")))
-    rows = F.when(F.size(found) > 0, found).otherwise(default)
-    return df.select("user_id", F.explode(rows).alias("i")).select("user_id", "i.kind", "i.title")
-
-
-def correlation_text(r="r", what: str = "Strain vs next-day recovery") -> Column:
-    r = _col(r)
-    direction = F.when(r > 0, "positive").otherwise("negative")
-    return F.concat(F.lit(what + ": "), correlation_strength(r), F.lit(" "), direction, F.lit(" correlation"))
+    found = {
+        "high_hrv": (c("rmssd") > 60, c("rmssd")),
+        "low_hrv": ((c("rmssd") > 0) & (c("rmssd") < 30), c("rmssd")),
+        "green_streak": (known & (c("streak") >= 3), c("streak")),
+        "recovery_deficit": (known & (c("red_days") > c("green_days")) & (c("days") >= 5), c("red_days")),
+        "weekly_average": (known & (c("avg_recovery") > 0), F.floor(c("avg_recovery") + 0.5)),
+    }
+    entry = lambda code, value: F.struct(F.lit(code).alias("insight"), value.cast("double").alias("value"))
+    listed = F.array_compact(F.array(*[F.when(met, entry(code, value)) for code, (met, value) in found.items()]))
+    rows = F.when(F.size(listed) > 0, listed).otherwise(F.array(entry("more_data", F.lit(None))))
+    return df.select("user_id", F.explode(rows).alias("i")).select("user_id", "i.*")
 
 
 def stress_recovery_insight(stress="avg_stress", recovery="recovery") -> Column:
+    """Whether stress and recovery point the same way, as a code."""
     s, r = F.floor(_col(stress) + 0.5), F.floor(_col(recovery) + 0.5)
     return (
-        F.when((s > 66) & (r < 50), "High stress is likely impacting your recovery. Consider active recovery today.")
-        .when((s < 34) & (r > 66), "Low stress is supporting your recovery. Great balance!")
-        .otherwise("Monitor how stress changes affect your next recovery score.")
+        F.when((s > 66) & (r < 50), "high_stress_low_recovery").when((s < 34) & (r > 66), "low_stress_high_recovery").otherwise("watch")
     )
 
 
@@ -259,9 +231,9 @@ def tracked_activities(df: DataFrame, keep: int = 50) -> DataFrame:
     order = W.partitionBy("user_id").orderBy("timestamp")
     before = F.lag("action").over(order)
     runs = df.withColumn("_opens", (F.col("action") == "start") & F.coalesce(before != "start", F.lit(True)))
-    next_end = F.first(F.when(F.col("action") == "end", F.col("timestamp")), True).over(
-        order.rowsBetween(1, W.unboundedFollowing)
-    )
+    # read backwards, so the next end is a running value
+    back = W.partitionBy("user_id").orderBy(F.desc("timestamp")).rowsBetween(W.unboundedPreceding, -1)
+    next_end = F.last(F.when(F.col("action") == "end", F.col("timestamp")), True).over(back)
     opened = runs.withColumn("end_ts", next_end).where("_opens")
     newest = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("timestamp")))
     return opened.withColumn("_rank", newest).where(F.col("_rank") <= keep).select(

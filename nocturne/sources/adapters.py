@@ -1,9 +1,9 @@
 """Canonical tables derived from the star-schema test tables.
 
-``lineitem`` becomes a dense sensor series: the supplier is the recorder, rows
-in shipping order are its samples. A recorder is continued as the next user
-after ``SERIES_ROWS`` samples, so no series grows with the data however many
-rows one supplier holds. ``events`` becomes daily scores on real dates.
+``lineitem`` becomes a dense sensor series: the supplier is the user, its rows
+in shipping order are the samples. However many rows one supplier holds, they are
+one series; numbering splits it by shipping date. ``events`` becomes daily scores on
+real dates.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from nocturne.operators.positions import sliced_position
 
 FIRST_SAMPLE_S = 1704135600
-SERIES_ROWS = 20000
-NEXT_SERIES = 10_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +33,8 @@ def sensor(spark: SparkSession, sf_dir: str, step_s: int = 300) -> DataFrame:
     hr = F.when(F.col("l_discount") < 0.005, 0).otherwise((40 + F.col("l_quantity")).cast("int"))
     x, y = F.col("l_discount") * 2, F.col("l_tax") * 3
     return ranked.select(
-        (F.col("l_suppkey") + F.floor(F.col("pos") / SERIES_ROWS) * NEXT_SERIES).alias("user_id"),
-        (FIRST_SAMPLE_S + (F.col("pos") % SERIES_ROWS) * step_s).cast("long").alias("timestamp"),
+        F.col("l_suppkey").alias("user_id"),
+        (FIRST_SAMPLE_S + F.col("pos") * step_s).cast("long").alias("timestamp"),
         hr.alias("hr"),
         F.when(hr > 0, 1).otherwise(0).alias("rr_count"),
         F.when(hr > 0, 60000.0 / hr + (F.col("l_linenumber") - 4) * 15.0).alias("rr1_ms"),

@@ -175,11 +175,18 @@ def pair_responses(packets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def field_profile(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Timestamp gaps and field ranges of decoded records per key (bounded groups)."""
-    gap = F.col("timestamp") - F.lag("timestamp").over(W.partitionBy(*keys).orderBy("timestamp"))
-    v = records.withColumn("gap", gap)
+    """Timestamp gaps and field ranges of decoded records per key.
+
+    Gaps are taken inside each day; the gap across midnight comes from the days' first and last
+    records, so no task sorts a whole key.
+    """
+    v = records.withColumn("_day", F.floor(F.col("timestamp") / 86400))
+    inside = v.withColumn("gap", F.col("timestamp") - F.lag("timestamp").over(W.partitionBy(*keys, "_day").orderBy("timestamp")))
+    days = v.groupBy(*keys, "_day").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    across = days.select(*keys, (F.col("_first") - F.lag("_last").over(W.partitionBy(*keys).orderBy("_day"))).alias("gap"))
+    both = inside.select(*keys, "gap", "hr", "gyro").unionByName(across, allowMissingColumns=True)
     plausible = F.when((F.col("gyro") > -100) & (F.col("gyro") < 100), F.col("gyro"))
-    return v.groupBy(*keys).agg(
+    return both.groupBy(*keys).agg(
         F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"), F.avg("gap").alias("gap_avg"),
         F.count_distinct("gap").alias("gaps"), F.min("hr").alias("hr_min"), F.max("hr").alias("hr_max"),
         F.avg("hr").alias("hr_avg"), F.min(plausible).alias("gyro_min"), F.max(plausible).alias("gyro_max"),

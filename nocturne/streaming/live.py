@@ -70,7 +70,11 @@ def window_features(stream: DataFrame, width: str = "2 minutes", stride: str = "
 
 def activity_sessions(stream: DataFrame, above: float, gap: str = "30 seconds", min_s: int = 0,
                       delay: str = DELAY) -> DataFrame:
-    """Sessions of rows at or above a heart rate, closed by a gap."""
+    """Sessions of rows at or above a heart rate, closed by a gap.
+
+    For the append mode: a session is emitted once, when the watermark has passed it, and leaves
+    the state. At the end of the data ``closing_row`` moves the watermark past the last ones.
+    """
     return stream.where(F.col("hr") >= above).withWatermark("event_time", delay).groupBy(
         "user_id", F.session_window("event_time", gap).alias("s")
     ).agg(
@@ -81,6 +85,19 @@ def activity_sessions(stream: DataFrame, above: float, gap: str = "30 seconds",
     )
 
 
+CLOSER = -1  # the user of closing rows, whose own session never ends
+
+
+def closing_row(rows: DataFrame, above: float, after: str) -> DataFrame:
+    """One row with the columns of ``rows`` (``user_id``, ``hr``, ``event_time``, ``timestamp``) that lies ``after``,
+    an interval longer than delay and gap together, behind the last of them."""
+    last = rows.agg(F.max("event_time").alias("event_time")).where("event_time IS NOT NULL")
+    row = last.select(
+        F.lit(CLOSER).cast("long").alias("user_id"), F.lit(above).alias("hr"), (F.col("event_time") + F.expr(f"INTERVAL {after}")).alias("event_time"),
+    ).withColumn("timestamp", F.unix_seconds("event_time"))
+    return row.select(*[(F.col(f.name) if f.name in row.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
 def daily_counter(stream: DataFrame, value: str, delay: str = DELAY) -> DataFrame:
     """A sum that starts again every day."""
     return stream.withWatermark("event_time", delay).groupBy(

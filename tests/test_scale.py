@@ -28,12 +28,14 @@ def test_positions_of_a_hot_key(spark):
     assert got.count() == 20000
 
 
-def test_long_series_are_continued(spark, monkeypatch):
-    monkeypatch.setattr(adapters, "SERIES_ROWS", 100)
-    s = adapters.sensor(spark, SF)
-    assert s.groupBy("user_id").count().agg(F.max("count")).first()[0] <= 100
-    assert s.count() == adapters.table(spark, SF, "lineitem").count()
-    assert s.groupBy("user_id", "timestamp").count().where("count > 1").count() == 0
+def test_a_supplier_with_most_rows_stays_one_user(spark, tmp_path):
+    items = adapters.table(spark, SF, "lineitem")
+    hot = items.withColumn("l_suppkey", F.when(F.col("l_orderkey") % 4 > 0, 1).otherwise(F.col("l_suppkey")))
+    hot.write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {r[0]: r[1] for r in hot.groupBy("l_suppkey").count().collect()}
+    s = adapters.sensor(spark, str(tmp_path))
+    got = s.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("timestamp").alias("seconds")).collect()
+    assert {r.user_id: r.n for r in got} == want and all(r.n == r.seconds for r in got)
 
 
 def test_night_windows_cost_one_shuffle_after_the_adapter(spark):

@@ -55,3 +55,15 @@ def test_baseline_state_survives_a_restart(spark):
         want = 0.1 * v + 0.9 * want
     got = live.latest_updates(spark, out, stream.schema, ["user_id"]).first()
     assert abs(got["baseline"] - want) < 1e-9 and got["days"] == 4 and schema
+
+
+def test_sessions_of_several_files_are_emitted_once(spark):
+    source, folder = work_folder(spark, "in"), work_folder(spark, "out")
+    for i in range(3):
+        rows(spark, i * 1000, 1, 1).withColumn("hr", F.lit(90)).coalesce(1).write.mode("append").parquet(source)
+    stream = live.activity_sessions(live.read_stream(spark, source, rows(spark, 0, 1).schema, files_per_batch=1), 60, "1 minute", delay="1 hour")
+    target = live.run_available(stream, folder)
+    live.closing_row(spark.read.parquet(source), 60, "2 hours").write.mode("append").parquet(source)
+    live.run_available(stream, folder)
+    got = live.written_rows(spark, target, stream.schema).where(F.col("user_id") != live.CLOSER)
+    assert sorted(r.start_ts for r in got.collect()) == [1704067200 + i * 37000 for i in range(3)]
