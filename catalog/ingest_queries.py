@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import fixtures
+from catalog.aggregate_queries import day_rows
 from catalog.base import cte, query, sql
 from nocturne.operators.nights import local_minute
 from nocturne.schema import SPORTS
@@ -363,6 +364,15 @@ def io12_coverage(spark, sf):
     return documents.field_coverage(documents.official_fields(docs(spark, sf)))
 
 
+@query("io1_capture_table", sql("SELECT user_id, date, count(*) AS n, CAST(sum(hr) AS BIGINT) AS hr, max(ts) AS last_ts FROM day GROUP BY 1, 2", "day"))
+def io1_table(spark, sf):
+    path = work_folder(spark, "capture")
+    tables.write_partitioned(day_rows(spark, sf).select("user_id", "date", "timestamp", "hr"), path)
+    return tables.read_table(spark, path).groupBy("user_id", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("hr").alias("hr"), F.max("timestamp").alias("last_ts")
+    )
+
+
 @query("io13_csv_sink", sql("SELECT user_id, count(*) AS n, sum(hr) AS heart_rate, count(spo2) AS n_spo2, sum(gyro) AS gyro FROM sensor GROUP BY 1", "sensor", "gyro"))
 def io13(spark, sf):
     path = work_folder(spark, "csv")

@@ -127,15 +127,6 @@ def correlation_strength(r: Column) -> Column:
     )
 
 
-def argmax_label(scores: dict[str, Column]) -> Column:
-    """Label with the highest score; the first one named wins a tie."""
-    entries = [
-        F.struct(score.cast("double").alias("score"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
-        for i, (label, score) in enumerate(scores.items())
-    ]
-    return F.array_max(F.array(*entries))["label"]
-
-
 def steps(c: Column, cases: list[tuple[float, float]], default: float = 0.0) -> Column:
     """First value whose upper bound exceeds ``c``; ``default`` beyond the last."""
     out = F.lit(float(default))

@@ -31,39 +31,36 @@ def seconds(ts: Column) -> Column:
     return F.when(ts > 1_000_000_000_000, F.floor(ts / 1000)).otherwise(ts).cast("long")
 
 
-def valid_timestamps(df: DataFrame, first: int = 1_600_000_000, last: int = 2_100_000_000) -> DataFrame:
-    return df.where(F.col("timestamp").between(first, last))
-
-
 def _within(c: Column, limit: float) -> Column:
     return F.when(F.abs(c) < limit, c.cast("double")).otherwise(0.0)
 
 
-def stored_columns(df: DataFrame) -> DataFrame:
-    """Values stored beside a frame, with range checks; rows without heart rate are dropped."""
+def stored_columns() -> dict[str, Column]:
+    """Values stored beside a frame, with range checks."""
     ax, ay, az = (_within(F.col(c), 20.0) for c in ("acc_x", "acc_y", "acc_z"))
     nothing = F.lit(None).cast("double")
-    return df.where("hr > 30").select(
-        *[c for c in ("user_id", "id") if c in df.columns],
-        seconds(F.col("timestamp")).alias("timestamp"), F.col("hr").cast("int").alias("hr"),
-        F.coalesce("rr_count", F.lit(0)).alias("rr_count"),
-        valid_rr(F.col("rr1_ms").cast("double")).alias("rr1_ms"), nothing.alias("rr2_ms"), nothing.alias("rr3_ms"),
-        ax.alias("acc_x"), ay.alias("acc_y"), az.alias("acc_z"), movement(ax, ay, az).alias("movement"),
-        _within(F.col("gyro"), 50.0).alias("gyro"),
-        F.when((F.col("spo2") > 50) & (F.col("spo2") < 110), F.col("spo2").cast("int")).alias("spo2"),
-    )
+    return {
+        "timestamp": seconds(F.col("timestamp")), "hr": F.col("hr").cast("int"), "rr_count": F.coalesce("rr_count", F.lit(0)),
+        "rr1_ms": valid_rr(F.col("rr1_ms").cast("double")), "rr2_ms": nothing, "rr3_ms": nothing,
+        "acc_x": ax, "acc_y": ay, "acc_z": az, "movement": movement(ax, ay, az), "gyro": _within(F.col("gyro"), 50.0),
+        "spo2": F.when((F.col("spo2") > 50) & (F.col("spo2") < 110), F.col("spo2").cast("int")),
+    }
 
 
 def scan(raw: DataFrame) -> DataFrame:
     """Canonical rows: decoded from the frame where it decodes, else from stored columns.
 
-    One row per user and second; the first in table order (``id``) wins.
+    Stored rows without a heart rate are dropped. One row per user and second; the first in
+    table order (``id``) wins.
     """
     is_frame = (F.length("raw_hex") >= 32) & ~F.startswith("raw_hex", F.lit("hr_ble:"))
     frames = decode_frames(raw.withColumn("frame", F.when(is_frame, F.upper("raw_hex"))))
-    decoded = frames.where("d_ok").select("user_id", "id", "d.*")
-    stored = stored_columns(frames.where("not d_ok"))
-    return keep_one(decoded.unionByName(stored), ["user_id", "timestamp"], ["id"]).drop("id")
+    stored = stored_columns()
+    fields = [
+        F.when(F.col("d_ok"), F.col("d")[f.name]).otherwise(stored[f.name].cast(f.dataType)).alias(f.name) for f in frames.schema["d"].dataType.fields
+    ]
+    rows = frames.where("d_ok OR hr > 30").select("user_id", "id", *fields)
+    return keep_one(rows, ["user_id", "timestamp"], ["id"]).drop("id")
 
 
 def recompute_hr(df: DataFrame) -> DataFrame:
