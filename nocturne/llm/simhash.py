@@ -91,6 +91,24 @@ def _close(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
+def shared_keys(prints: DataFrame, distance: int) -> DataFrame:
+    """``(..., bit, key, fp, n)``: the n members of each index key that two or more fingerprints share.
+
+    Columns of ``prints`` besides ``fp`` are part of the key. Every pair within ``distance`` bits
+    shares a key.
+    """
+    prints = table(prints, "prints")
+    by = [*(c for c in prints.columns if c != "fp"), "bit", "key"]
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(distance)))
+    spread = prints.repartition(max(1, prints.count() // _INDEXED), *prints.columns)
+    index = spread.select("*", F.posexplode(keys).alias("bit", "key"))
+    by_key = Window.partitionBy(*by).orderBy("fp")
+    met = index.select("*", F.coalesce(F.lag("fp").over(by_key), F.lead("fp").over(by_key)).isNotNull().alias("met"))
+    members = table(met.where("met").drop("met"), "variants")
+    held = table(members.groupBy(*by).agg(F.count("*").alias("n")), "held")
+    return table(members.join(held, by), "members")
+
+
 def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
     """Edges ``(u, v)`` whose components are those of all pairs within ``distance`` bits.
 
@@ -102,14 +120,7 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    prints = table(prints.select("fp"), "prints")
-    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(distance)))
-    index = prints.repartition(max(1, prints.count() // _INDEXED), "fp").select("fp", F.posexplode(keys).alias("bit", "key"))
-    by_key = Window.partitionBy("bit", "key").orderBy("fp")
-    met = index.select("*", F.coalesce(F.lag("fp").over(by_key), F.lead("fp").over(by_key)).isNotNull().alias("met"))
-    members = table(met.where("met").drop("met"), "variants")
-    held = table(members.groupBy("bit", "key").agg(F.count("*").alias("n")), "held")
-    members = table(members.join(held, ["bit", "key"]), "members")
+    members = shared_keys(prints.select("fp"), distance)
     few = members.where(F.col("n") <= crowd).select("bit", "key", "fp")
     pairs = (
         few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["bit", "key"])
@@ -148,35 +159,36 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 
 def similar_leaders(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8,
-                    tables: int = 4, distance: int = 2) -> DataFrame:
+                    parts: int = 3, distance: int = 5, crowd: int = CROWD) -> DataFrame:
     """``(doc_id, leader)`` of rows that repeat an earlier one; ``leader`` is kept.
 
-    Candidates are the components of ``tables`` SimHash fingerprints of the distinct words
-    (a text with few changed words keeps almost all bits). In each component the smallest
-    doc_id leads; members whose exact Jaccard similarity with it, over shingles of ``words``
-    words, is ``least`` or more follow it. The rest form new components with the
-    links among themselves until no link is left. Rows without an id neither lead nor
-    follow. Rows that share an id are one document here.
+    Candidates come from ``parts`` SimHash fingerprints of the distinct words, which a text with few
+    changed words keeps almost unchanged: documents are linked if fingerprints of one part lie
+    within ``distance`` bits. In each component the smallest doc_id leads, and members whose
+    exact Jaccard similarity with it, over shingles of ``words`` words, is ``least`` or more follow
+    it. The rest go on with the links among themselves until none is left. Members of a key with
+    more than ``crowd`` fingerprints, and documents with one fingerprint, are linked to the
+    smallest of them that is left, anew in each round, so no pairs are written out and none is
+    lost. Rows without an id neither lead nor follow. Rows that share an id are one document here.
     """
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    prints = table(fingerprints(df, words=1, seeds=tuple(range(1, tables + 1)), unique=True), "word-prints")
-    edges = None
-    for i in range(tables):
-        own = prints.select("doc_id", F.col(f"fp{i}").alias("fp"))
-        first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-        near = links(first, distance)
-        near = (
-            near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u")
-            .join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        )
-        same = own.join(first, "fp").where("doc_id != first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-        both = table(near.unionByName(same), "links")
-        edges = both if edges is None else edges.unionByName(both)
-    edges = table(edges.distinct(), "links")
-    found = None
-    sets = None
+    prints = fingerprints(df, words=1, seeds=tuple(range(1, parts + 1)), unique=True)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"fp{i}").alias("fp")) for i in range(parts)))).alias("p")
+    prints = table(prints.select("doc_id", each).select("doc_id", "p.part", "p.fp"), "word-prints")
+    first = table(prints.groupBy("part", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("docs")), "first-prints")
+    members = shared_keys(first.select("part", "fp"), distance).join(first.select("part", "fp", "node"), ["part", "fp"])
+    members = table(members, "candidates")
+    few = members.where(F.col("n") <= crowd).select("part", "bit", "key", "fp", "node")
+    pairs = few.withColumnsRenamed({"fp": "x", "node": "u"}).join(few.withColumnsRenamed({"fp": "y", "node": "v"}), ["part", "bit", "key"])
+    edges = table(pairs.where((F.col("x") < F.col("y")) & _close(F.col("x"), F.col("y"), distance) & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "links")
+    crowds = members.where(F.col("n") > crowd).select("part", "bit", "key", "node")
+    equal = prints.join(first.where("docs > 1").select("part", "fp"), ["part", "fp"]).select("part", F.lit(-1).alias("bit"), F.col("fp").alias("key"), F.col("doc_id").alias("node"))
+    crowds = table(crowds.unionByName(equal), "crowds")
+    found, sets = None, None
     while True:
-        member = table(components(edges).where("node != root"), "components")
+        heads = crowds.groupBy("part", "bit", "key").agg(F.min("node").alias("v"))
+        stars = crowds.join(heads, ["part", "bit", "key"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
+        member = table(components(edges.unionByName(stars)).where("node != root"), "components")
         if member.isEmpty():
             break
         if sets is None:
@@ -190,8 +202,8 @@ def similar_leaders(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         follow = judged.where("alike").select(F.col("node").alias("doc_id"), F.col("root").alias("leader"))
         found = follow if found is None else found.unionByName(follow)
         rest = judged.where("NOT alike").select("node")
-        edges = edges.join(rest.withColumnRenamed("node", "u"), "u", "left_semi").join(rest.withColumnRenamed("node", "v"), "v", "left_semi")
-        edges = table(edges, "links")
+        edges = table(edges.join(rest.withColumnRenamed("node", "u"), "u", "left_semi").join(rest.withColumnRenamed("node", "v"), "v", "left_semi"), "links")
+        crowds = table(crowds.join(rest, "node", "left_semi"), "crowds")
     if found is None:
         return df.select("doc_id", F.col("doc_id").alias("leader")).where("false")
     return found
