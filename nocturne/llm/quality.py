@@ -15,7 +15,8 @@ from .work import fresh, table
 
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.08
+THRESHOLD = -0.15
+SMOOTHING = 10.0
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -123,16 +124,18 @@ def trusted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", rows: in
 
 
 def weights(corpus: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """One row ``(weights)``: log p(bucket | target) - log p(bucket | corpus), add-one smoothed.
+    """One row ``(weights)``: log p(bucket | target) - log p(bucket | corpus), both smoothed by ``SMOOTHING`` a bucket.
 
+    All texts count, each distinct one once, so a clean document is not held against its own copies.
     Without a target text all weights are zero.
     """
-    both = _counts(corpus.select(F.col(text).cast("string").alias("text")), buckets).select("bucket", F.lit(0).cast("long").alias("t"), F.col("n").alias("r")).unionByName(
-        _counts(target.select(F.col(text).cast("string").alias("text")), buckets).select("bucket", F.col("n").alias("t"), F.lit(0).cast("long").alias("r"))
+    both = _counts(corpus.select(F.col(text).cast("string").alias("text")).distinct(), buckets).select("bucket", F.lit(0).cast("long").alias("t"), F.col("n").alias("r")).unionByName(
+        _counts(target.select(F.col(text).cast("string").alias("text")).distinct(), buckets).select("bucket", F.col("n").alias("t"), F.lit(0).cast("long").alias("r"))
     ).unionByName(corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("r")))
     counts = table(both.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r")), "grams")
     total = counts.agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
-    ratio = F.when(F.col("all_t") > 0, F.log((F.col("t") + 1) / (F.col("all_t") + buckets)) - F.log((F.col("r") + 1) / (F.col("all_r") + buckets))).otherwise(0.0)
+    smoothed = lambda c: F.log((F.col(c) + SMOOTHING) / (F.col(f"all_{c}") + SMOOTHING * buckets))
+    ratio = F.when(F.col("all_t") > 0, smoothed("t") - smoothed("r")).otherwise(0.0)
     one = counts.join(F.broadcast(total)).select("bucket", ratio.alias("w"))
     return one.agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).getField("w").alias("weights"))
 
