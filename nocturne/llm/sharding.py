@@ -14,6 +14,7 @@ from .work import fresh, table
 
 BUCKET_ROWS = 50_000
 _RUN = 10_000
+_TASK_BUCKETS = 4
 
 
 def _each_copy(df: DataFrame, copy: str) -> DataFrame:
@@ -45,7 +46,10 @@ def shuffled(df: DataFrame, shards: int = 8, seed: int = 42, bucket_rows: int =
     hashed = _each_copy(df, copy).withColumn(key, F.xxhash64(F.lit(seed), *columns, F.col(copy)))
     scattered = table(hashed.withColumn(bucket, F.pmod(F.col(key), F.lit(buckets))), "buckets")
     record = F.struct(key, copy, F.struct(*columns).alias("row"))
-    mixed = scattered.groupBy(bucket).agg(F.shuffle(F.sort_array(F.collect_list(record)), seed).alias(rows))
+    # Spark's shuffle draws from one generator in each task: a fixed number of tasks and their buckets in
+    # order make the draws, and so a task that is run again, the same each time
+    gathered = scattered.repartition(-(-buckets // _TASK_BUCKETS), bucket).groupBy(bucket).agg(F.sort_array(F.collect_list(record)).alias(rows))
+    mixed = gathered.sortWithinPartitions(bucket).select(bucket, F.shuffle(rows, seed).alias(rows))
     dealt = mixed.select(bucket, F.posexplode(rows).alias(place, rows))
     # a row for each bucket, so the running sum in one task covers a table of fixed row size
     before = F.coalesce(F.sum("count").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -25,6 +25,10 @@ def test_layout_does_not_matter_and_the_seed_does(hard):
     rows = hard.select("doc_id", "lang", "text")
     one = sorted(map(str, sharding.shuffled(rows.repartition(7), bucket_rows=10).collect()))
     assert one == sorted(map(str, sharding.shuffled(rows.coalesce(1), bucket_rows=10).collect()))
+    before = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows.sparkSession.conf.set("spark.sql.shuffle.partitions", "3")
+    assert one == sorted(map(str, sharding.shuffled(rows, bucket_rows=10).collect()))
+    rows.sparkSession.conf.set("spark.sql.shuffle.partitions", before)
     assert one != sorted(map(str, sharding.shuffled(rows, seed=1, bucket_rows=10).collect()))
 
 
