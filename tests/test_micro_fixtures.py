@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions import binary
 from nocturne.functions.scalars import clock_minute, night_minute, to_number
-from nocturne.operators import aggregates, scores, sequence, series
+from nocturne.operators import aggregates, decoding, scores, sequence, series
 from nocturne.operators.nights import NIGHT
 
 
@@ -83,7 +83,7 @@ def test_smoothing(spark):
 
 def test_viterbi_two_states(spark):
     df = spark.createDataFrame([(1, "n", 0, 0.9, 0.1), (1, "n", 1, 0.4, 0.6), (1, "n", 2, 0.9, 0.1)], "user_id long, night string, win int, p0 double, p1 double")
-    got = sequence.viterbi(df, [[0.8, 0.2], [0.2, 0.8]], [0.5, 0.5]).orderBy("win").collect()
+    got = decoding.viterbi(df, [[0.8, 0.2], [0.2, 0.8]], [0.5, 0.5]).orderBy("win").collect()
     assert [r["state"] for r in got] == [0, 0, 0]
 
 
