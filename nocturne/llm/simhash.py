@@ -160,57 +160,44 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def similar_leaders(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8,
                     parts: int = 3, distance: int = 5, crowd: int = CROWD) -> DataFrame:
-    """``(doc_id, leader)`` of rows that repeat an earlier one; ``leader`` is kept.
+    """``(doc_id, leader)`` of rows in a group of near copies; the leader, its smallest doc_id, is kept.
 
     Candidates come from ``parts`` SimHash fingerprints of the distinct words, which a text with few
-    changed words keeps almost unchanged: documents are linked if fingerprints of one part lie
-    within ``distance`` bits. In each component the smallest doc_id leads, and members whose
-    exact Jaccard similarity with it, over shingles of ``words`` words, is ``least`` or more follow
-    it. The rest go on with the links among themselves until none is left. Members of a key with
-    more than ``crowd`` fingerprints, and documents with one fingerprint, are linked to the
-    smallest of them that is left, anew in each round, so no pairs are written out and none is
-    lost. Rows without an id neither lead nor follow. Rows that share an id are one document here.
+    changed words keeps almost unchanged: pairs of fingerprints of one part within ``distance``
+    bits, and each document with the smallest of the same fingerprint. Keys of more than
+    ``crowd`` fingerprints give the links of ``links`` (two bits, as stars) in place of pairs. Each
+    candidate is verified by the exact Jaccard similarity of its shingles of ``words`` words;
+    groups are the components of those of ``least`` or more. Rows without an id neither lead nor
+    follow. Rows that share an id are one document, linked where one of its texts is.
     """
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     prints = fingerprints(df, words=1, seeds=tuple(range(1, parts + 1)), unique=True)
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"fp{i}").alias("fp")) for i in range(parts)))).alias("p")
     prints = table(prints.select("doc_id", each).select("doc_id", "p.part", "p.fp"), "word-prints")
-    first = table(prints.groupBy("part", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("docs")), "first-prints")
-    members = shared_keys(first.select("part", "fp"), distance).join(first.select("part", "fp", "node"), ["part", "fp"])
+    first = table(prints.groupBy("part", "fp").agg(F.min("doc_id").alias("node")), "first-prints")
+    members = shared_keys(first.select("part", "fp"), distance).join(first, ["part", "fp"])
     members = table(members, "candidates")
     few = members.where(F.col("n") <= crowd).select("part", "bit", "key", "fp", "node")
     pairs = few.withColumnsRenamed({"fp": "x", "node": "u"}).join(few.withColumnsRenamed({"fp": "y", "node": "v"}), ["part", "bit", "key"])
-    edges = table(pairs.where((F.col("x") < F.col("y")) & _close(F.col("x"), F.col("y"), distance) & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "links")
-    crowds = members.where(F.col("n") > crowd).select("part", "bit", "key", "node")
-    equal = prints.join(first.where("docs > 1").select("part", "fp"), ["part", "fp"]).select("part", F.lit(-1).alias("bit"), F.col("fp").alias("key"), F.col("doc_id").alias("node"))
-    crowds = table(crowds.unionByName(equal), "crowds")
-    found, sets = None, None
-    while True:
-        heads = crowds.groupBy("part", "bit", "key").agg(F.min("node").alias("v"))
-        stars = crowds.join(heads, ["part", "bit", "key"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
-        member = table(components(edges.unionByName(stars)).where("node != root"), "components")
-        if member.isEmpty():
-            break
-        if sets is None:
-            wanted = member.select(F.col("node").alias("doc_id")).unionByName(member.select(F.col("root").alias("doc_id"))).distinct()
-            sets = table(shingle_sets(df.join(wanted, "doc_id", "left_semi"), words), "shingles")
-        mine = member.join(sets.withColumnsRenamed({"doc_id": "node", "grams": "x"}), "node")
-        both = mine.join(sets.withColumnsRenamed({"doc_id": "root", "grams": "y"}), "root")
-        shared = F.size(F.array_intersect("x", "y"))
-        alike = shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9
-        judged = table(both.select("node", "root", alike.alias("alike")), "judged")
-        follow = judged.where("alike").select(F.col("node").alias("doc_id"), F.col("root").alias("leader"))
-        found = follow if found is None else found.unionByName(follow)
-        rest = judged.where("NOT alike").select("node")
-        edges = table(edges.join(rest.withColumnRenamed("node", "u"), "u", "left_semi").join(rest.withColumnRenamed("node", "v"), "v", "left_semi"), "links")
-        crowds = table(crowds.join(rest, "node", "left_semi"), "crowds")
-    if found is None:
-        return df.select("doc_id", F.col("doc_id").alias("leader")).where("false")
-    return found
+    pairs = pairs.where((F.col("x") < F.col("y")) & _close(F.col("x"), F.col("y"), distance) & (F.col("u") != F.col("v"))).select("u", "v")
+    # the smallest document of a fingerprint stands for it, in whichever part
+    crowds = members.where(F.col("n") > crowd).groupBy("fp").agg(F.min("node").alias("node"))
+    stars = links(crowds.select("fp"), 2, crowd)
+    stars = stars.join(crowds.withColumnsRenamed({"fp": "u", "node": "a"}), "u").join(crowds.withColumnsRenamed({"fp": "v", "node": "b"}), "v").select(
+        F.col("a").alias("u"), F.col("b").alias("v")
+    )
+    equal = prints.join(first, ["part", "fp"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    edges = table(pairs.unionByName(stars).unionByName(equal).where("u != v").distinct(), "candidate-links")
+    wanted = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = table(shingle_sets(df.join(wanted, "doc_id", "left_semi"), words), "shingles")
+    both = edges.join(sets.withColumnsRenamed({"doc_id": "u", "grams": "x"}), "u").join(sets.withColumnsRenamed({"doc_id": "v", "grams": "y"}), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("u", "v")
+    return components(alike).where("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("leader"))
 
 
 def shingle_sets(df: DataFrame, words: int = 5) -> DataFrame:
-    """``(doc_id, grams)``: hashes of the distinct shingles of the texts that share a doc_id."""
+    """``(doc_id, grams)``: hashes of the distinct shingles, a row for each id and set."""
     schema = arrow_schema(doc_id=pa.int64(), grams=pa.list_(pa.int64()))
 
     def run(batches):
@@ -218,14 +205,14 @@ def shingle_sets(df: DataFrame, words: int = 5) -> DataFrame:
             sets = [np.array(sorted({xxhash.xxh64_intdigest(f, 7) for f in _features(t, words, False)}), np.uint64).view(np.int64) for t in texts(b.column(1))]
             yield batch(schema, b.column(0), sets)
 
-    rows = df.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
-    return rows.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("grams"))).alias("grams"))
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>").distinct()
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """Rows of ``df`` with all columns, one document of each group of near copies.
 
-    Rows without an id stay. Rows that share an id are one document: they stay or go together.
+    Rows without an id stay. Rows that share an id are one document, linked where one of its texts
+    is: they stay or go together.
     """
     followers = similar_leaders(df, doc_id, text, words, least)
     gone = fresh(df, "gone")
