@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .prefixes import features as _features, similar_links
 from .work import arrow_schema, batch, fresh, table, texts
 
 BITS = 64
@@ -25,20 +26,6 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 _FEATURES = 1 << 20
 
 
-def _features(text: bytes, words: int, unique: bool) -> list[bytes]:
-    tokens = text.lower().split()
-    if unique:
-        tokens = sorted(set(tokens))
-    if len(tokens) <= words:
-        return [b" ".join(tokens)] if tokens else []
-    if words == 1:
-        return tokens
-    line = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    return [line[a:b] for a, b in zip(starts[: len(tokens) - words + 1].tolist(), (ends[words - 1 :] - 1).tolist())]
-
-
 def fingerprint(text: bytes, words: int = 3, seed: int = 42, unique: bool = False) -> int:
     """SimHash of one text: a bit is set if over half the shingle hashes set it."""
     features = _features(text, words, unique)
@@ -158,54 +145,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return prints.join(groups(prints, distance, crowd), "fp").select("doc_id", hexed, "component_id")
 
 
-def similar_leaders(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8,
-                    parts: int = 3, distance: int = 5, crowd: int = CROWD) -> DataFrame:
+def similar_leaders(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """``(doc_id, leader)`` of rows in a group of near copies; the leader, its smallest doc_id, is kept.
 
-    Candidates come from ``parts`` SimHash fingerprints of the distinct words, which a text with few
-    changed words keeps almost unchanged: pairs of fingerprints of one part within ``distance``
-    bits, and each document with the smallest of the same fingerprint. Keys of more than
-    ``crowd`` fingerprints give the links of ``links`` (two bits, as stars) in place of pairs. Each
-    candidate is verified by the exact Jaccard similarity of its shingles of ``words`` words;
-    groups are the components of those of ``least`` or more. Rows without an id neither lead nor
-    follow. Rows that share an id are one document, linked where one of its texts is.
+    Groups are the components of all pairs whose exact Jaccard similarity of shingles of ``words``
+    words is ``least`` or more. Fingerprints are not used: they miss too many such pairs, so candidates come from
+    the prefixes of the shingle sets, which miss none; ``crowd`` is passed to ``similar_links``
+    and does not change the groups. Rows without an id neither lead nor follow. Rows that share an id
+    are one document, linked where one of its texts is.
     """
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    prints = fingerprints(df, words=1, seeds=tuple(range(1, parts + 1)), unique=True)
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(f"fp{i}").alias("fp")) for i in range(parts)))).alias("p")
-    prints = table(prints.select("doc_id", each).select("doc_id", "p.part", "p.fp"), "word-prints")
-    first = table(prints.groupBy("part", "fp").agg(F.min("doc_id").alias("node")), "first-prints")
-    members = shared_keys(first.select("part", "fp"), distance).join(first, ["part", "fp"])
-    members = table(members, "candidates")
-    few = members.where(F.col("n") <= crowd).select("part", "bit", "key", "fp", "node")
-    pairs = few.withColumnsRenamed({"fp": "x", "node": "u"}).join(few.withColumnsRenamed({"fp": "y", "node": "v"}), ["part", "bit", "key"])
-    pairs = pairs.where((F.col("x") < F.col("y")) & _close(F.col("x"), F.col("y"), distance) & (F.col("u") != F.col("v"))).select("u", "v")
-    # the smallest document of a fingerprint stands for it, in whichever part
-    crowds = members.where(F.col("n") > crowd).groupBy("fp").agg(F.min("node").alias("node"))
-    stars = links(crowds.select("fp"), 2, crowd)
-    stars = stars.join(crowds.withColumnsRenamed({"fp": "u", "node": "a"}), "u").join(crowds.withColumnsRenamed({"fp": "v", "node": "b"}), "v").select(
-        F.col("a").alias("u"), F.col("b").alias("v")
-    )
-    equal = prints.join(first, ["part", "fp"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    edges = table(pairs.unionByName(stars).unionByName(equal).where("u != v").distinct(), "candidate-links")
-    wanted = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = table(shingle_sets(df.join(wanted, "doc_id", "left_semi"), words), "shingles")
-    both = edges.join(sets.withColumnsRenamed({"doc_id": "u", "grams": "x"}), "u").join(sets.withColumnsRenamed({"doc_id": "v", "grams": "y"}), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("u", "v")
-    return components(alike).where("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("leader"))
-
-
-def shingle_sets(df: DataFrame, words: int = 5) -> DataFrame:
-    """``(doc_id, grams)``: hashes of the distinct shingles, a row for each id and set."""
-    schema = arrow_schema(doc_id=pa.int64(), grams=pa.list_(pa.int64()))
-
-    def run(batches):
-        for b in batches:
-            sets = [np.array(sorted({xxhash.xxh64_intdigest(f, 7) for f in _features(t, words, False)}), np.uint64).view(np.int64) for t in texts(b.column(1))]
-            yield batch(schema, b.column(0), sets)
-
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>").distinct()
+    found = components(similar_links(df, words, least, crowd))
+    return found.where("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("leader"))
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
