@@ -21,3 +21,16 @@ def test_large_families_are_whole(spark, crowd):
     base = prose(700, 343)
     texts = {i: edited(base, 800 + i, 0.012) for i in range(140)}
     assert leaders(spark, texts, crowd=crowd) == brute(texts)
+
+
+def test_texts_with_a_block_added_cut_or_exchanged_are_linked(spark):
+    texts = {}
+    for g in range(12):
+        words = prose(900 + g, 300).split()
+        extra = prose(950 + g, 70).split()
+        texts |= {40 * g + k: " ".join(w) for k, w in enumerate([words, words + extra]) if g % 4 == 0}
+        texts |= {40 * g + k: " ".join(w) for k, w in enumerate([words, words[:246]]) if g % 4 == 1}
+        texts |= {40 * g + k: " ".join(w) for k, w in enumerate([words, words[:120] + extra[:28] + words[148:]]) if g % 4 == 2}
+        texts |= {40 * g + k: " ".join(w) for k, w in enumerate([words, words[:150] + extra[:60] + words[150:]]) if g % 4 == 3}
+    found = leaders(spark, texts)
+    assert found == brute(texts) and len(found) == 12
