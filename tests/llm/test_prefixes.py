@@ -34,3 +34,10 @@ def test_texts_with_a_block_added_cut_or_exchanged_are_linked(spark):
         texts |= {40 * g + k: " ".join(w) for k, w in enumerate([words, words[:150] + extra[:60] + words[150:]]) if g % 4 == 3}
     found = leaders(spark, texts)
     assert found == brute(texts) and len(found) == 12
+
+
+def test_near_copies_meet_although_their_first_document_is_unlike_both(spark):
+    words = prose(990, 200).split()
+    swapped = words[:100] + [words[101], words[100]] + words[102:]
+    texts = {1: " ".join(sorted(words)), 2: " ".join(words), 3: " ".join(swapped)}
+    assert brute(texts) == {3: 2} and leaders(spark, texts) == {3: 2}
