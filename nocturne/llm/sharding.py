@@ -1,8 +1,8 @@
 """Uniform shuffle of a table into shards: a two-pass external shuffle in DataFrame functions.
 
-Pass one scatters the records into buckets that fit into memory, by a seeded hash. Pass two
-shuffles each bucket with Fisher-Yates (Spark's ``shuffle`` of an array) and deals the
-records out in turn, so the shards' counts are at most one apart.
+Pass one scatters the records into buckets, by a seeded hash. Pass two sorts each bucket by a
+second seeded hash, a random key, and deals the records out in turn, so the shards' counts
+are at most one apart. The sort spills, so neither a bucket nor a long record has to fit into memory.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import fresh, table
+from nocturne.session import work_folder
+
+from .work import fresh, shuffles_dropped, table
 
 BUCKET_ROWS = 50_000
+BUCKET_BYTES = 64 << 20
 _RUN = 10_000
-_TASK_BUCKETS = 4
 
 
 def _each_copy(df: DataFrame, copy: str) -> DataFrame:
@@ -40,23 +42,22 @@ def shuffled(df: DataFrame, shards: int = 8, seed: int = 42, bucket_rows: int =
     be comparable (no maps). Columns named shard or slot are replaced.
     """
     df = df.drop("shard", "slot")
-    copy, bucket, key, rows, place = (fresh(df, c) for c in ("copy", "bucket", "key", "rows", "place"))
+    copy, bucket, key, mixed, place, count, before = (fresh(df, c) for c in ("copy", "bucket", "key", "mixed", "place", "count", "before"))
     columns = [F.col(f"`{c}`") for c in df.columns]
-    buckets = max(1, -(-df.count() // bucket_rows))
-    hashed = _each_copy(df, copy).withColumn(key, F.xxhash64(F.lit(seed), *columns, F.col(copy)))
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    total = df.agg(F.count("*"), F.sum(sum(wide, F.lit(0).cast("long")))).first()
+    buckets = max(1, -(-total[0] // bucket_rows), -(-(total[1] or 0) // BUCKET_BYTES))
+    keys = [F.xxhash64(F.lit(seed), F.lit(i), *columns, F.col(copy)).alias(name) for i, name in enumerate((key, mixed))]
+    hashed = _each_copy(df, copy).select("*", *keys)
     scattered = table(hashed.withColumn(bucket, F.pmod(F.col(key), F.lit(buckets))), "buckets")
-    record = F.struct(key, copy, F.struct(*columns).alias("row"))
-    # Spark's shuffle draws from one generator in each task: a fixed number of tasks and their buckets in
-    # order make the draws, and so a task that is run again, the same each time
-    gathered = scattered.repartition(-(-buckets // _TASK_BUCKETS), bucket).groupBy(bucket).agg(F.sort_array(F.collect_list(record)).alias(rows))
-    mixed = gathered.sortWithinPartitions(bucket).select(bucket, F.shuffle(rows, seed).alias(rows))
-    dealt = mixed.select(bucket, F.posexplode(rows).alias(place, rows))
+    within = Window.partitionBy(bucket).orderBy(mixed, key, copy, *columns)
+    dealt = scattered.withColumn(place, F.row_number().over(within) - 1)
     # a row for each bucket, so the running sum in one task covers a table of fixed row size
-    before = F.coalesce(F.sum("count").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = scattered.groupBy(bucket).count().select(bucket, before.alias("before_"))
-    position = F.col("before_") + F.col(place)
-    return dealt.join(starts, bucket).select(
-        F.col(f"{rows}.row.*"), (position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("long").alias("slot")
+    earlier = F.coalesce(F.sum(count).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = scattered.groupBy(bucket).agg(F.count("*").alias(count)).select(bucket, earlier.alias(before))
+    position = F.col(before) + F.col(place)
+    return dealt.join(F.broadcast(starts), bucket).select(
+        *columns, (position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("long").alias("slot")
     )
 
 
@@ -66,9 +67,17 @@ def write_shards(placed: DataFrame, path: str, files: int = 64) -> None:
 
 
 def document_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 8, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` under the law ``rows``."""
+    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` under the law ``rows``.
+
+    The whole documents are shuffled and written as shards; the columns are those of the shards read back.
+    """
+    path = work_folder(docs.sparkSession, "shards")
+    placed = shuffled(docs, shards, seed, bucket_rows)
+    with shuffles_dropped(docs.sparkSession):
+        write_shards(placed, path)
+    back = docs.sparkSession.read.schema(placed.schema).parquet(path)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    light = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
-    return shuffled(light, shards, seed, bucket_rows).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    return back.select(
+        F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -52,3 +52,23 @@ def test_empty_table_and_plan(none, hard):
     assert sharding.document_shards(none).count() == 0
     plan = sharding.document_shards(hard)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_columns_come_from_whole_documents_written_as_shards(spark, hard):
+    rows = hard.select("doc_id", "text")
+    got = sharding.document_shards(rows)
+    back = spark.read.parquet(got.inputFiles()[0].rsplit("/shard=", 1)[0])
+    placed = back.select("doc_id", "text", "shard", "slot").collect()
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter(map(tuple, rows.collect()))
+    want = Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in placed)
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got.collect()) == want
+
+
+def test_buckets_follow_bytes_and_no_bucket_is_gathered(hard, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 12)
+    rows = hard.select("doc_id", "text")
+    got = sharding.shuffled(rows)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(map(tuple, rows.collect()))
+    counts = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
