@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nocturne.session import work_folder
 
-from . import containment, language, licenses, quality, sharding, simhash, substring, suffix, tokens, warc
+from . import containment, language, ledger, licenses, negatives, quality, sharding, simhash, substring, suffix, tokens, trie, warc
 from .oracles import ORACLES  # noqa: F401  the entry reads it
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +65,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(_table(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.with_shared_heads(trie.turns_of(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _table(spark, sf_dir), ledger.create(spark, work_folder(spark, "secret-ledger"))
+    ledger.update(docs, path)
+    return ledger.secret_digests(docs, path)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_suffix_array_dedup, op3_license_scan, op4_language_id, op5_benchmark_decontamination,
         op6_quality_rules, op7_warc, op8_byte_bpe, op9_sharding, op10_substring_dedup,
+        op11_hard_negatives, op12_prefix_trie, op13_secret_scan,
     )
 }
