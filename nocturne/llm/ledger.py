@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import fresh, shuffles_dropped
+from .work import fresh, shuffles_dropped, table
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,8 @@ def findings(versions: DataFrame, path: str, text: str = "text", rules=RULES, in
     by_blob = by_blob.select("blob", F.transform(ranked, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"))).alias(into))
     key = fresh(versions, "blob")
     rows = versions.drop(into).withColumn(key, _blob(text))
-    return rows.join(by_blob.withColumnRenamed("blob", key), key, "left").drop(key)
+    # as a table of its own, so that Spark can split the paths of a hot blob
+    return rows.join(table(by_blob, "blob-findings").withColumnRenamed("blob", key), key, "left").drop(key)
 
 
 def _joined(spans: Column) -> Column:

@@ -169,13 +169,18 @@ def _same_label(count: int):
     return run
 
 
+def _percent(x: np.ndarray, share: int) -> np.ndarray:
+    """``share`` percent of ``x``, rounded down, within 64 bits."""
+    return x // 100 * share + x % 100 * share // 100
+
+
 def _other_label(count: int, low_share: int, high_share: int):
     def run(anchors: pa.Table, rows: pa.Table) -> pa.Table:
         x, names, parts = _Block(anchors, rows), anchors["anchor"].to_numpy(), []
         width = _width(anchors["positives"])
         p = _matrix(anchors["positives"], width)
         have = np.arange(width)[None, :] < np.diff(anchors["positives"].combine_chunks().offsets.to_numpy())[:, None]
-        least, most = -((-low_share * p) // 100), (high_share * p) // 100
+        least, most = -_percent(-p, low_share), _percent(p, high_share)
         most = np.where(have, most, _NONE)  # no window
         for at, low, high in x.chunks(np.arange(len(x.ids)), np.arange(len(names))):
             other = x.a_labels[at][:, None] != x.b_labels[None, :]
