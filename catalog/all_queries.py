@@ -8,5 +8,6 @@ from catalog import aggregate_queries  # noqa: F401
 from catalog import daily_queries  # noqa: F401
 from catalog import ingest_queries  # noqa: F401
 from catalog import model_queries  # noqa: F401
+from catalog import held_out_queries  # noqa: F401
 from catalog import stream_queries  # noqa: F401
 from catalog import surface_queries  # noqa: F401

@@ -99,7 +99,8 @@ def d6(spark, sf):
            CASE WHEN abs(gyro * 1000) < 50 THEN gyro * 1000 ELSE 0 END AS gyro, spo2 FROM sensor WHERE hr > 30""", "sensor", "rr1_ms acc_x gyro"))
 def d7(spark, sf):
     s = sensor(spark, sf).withColumns({"acc_x": F.col("acc_x") * 120, "gyro": F.col("gyro") * 1000})
-    return tables.stored_columns(s).select("user_id", "timestamp", "hr", "rr1_ms", "acc_x", "gyro", "spo2")
+    stored = s.where("hr > 30").select("user_id", *[c.alias(name) for name, c in tables.stored_columns().items()])
+    return stored.select("user_id", "timestamp", "hr", "rr1_ms", "acc_x", "gyro", "spo2")
 
 
 @query("d8_recompute_heart_rate", sql("""

@@ -244,21 +244,6 @@ def q10(spark, sf):
     return sequence.blend_gates(emissions(spark, sf), gain=(2.0, 0.9, 1.0, 1.3)).select(*NIGHT_WIN, "p0", "p1", "p2", "p3")
 
 
-PRIOR = np.array([[1.0 + 0.05 * (k - b / 4) for k in range(4)] for b in range(10)])
-LOG2 = np.log(np.array([[0.8, 0.2], [0.3, 0.7]]))
-LOG3 = np.log(np.array([[0.8, 0.1, 0.1], [0.25, 0.7, 0.05], [0.2, 0.05, 0.75]]))
-
-
-@query("q11_cascade_decode")
-def q11(spark, sf):
-    return decoding.cascade_decode(emissions(spark, sf), 0.7, 0.5, PRIOR, LOG2, np.log([0.6, 0.4]))
-
-
-@query("q12_hierarchical_decode")
-def q12(spark, sf):
-    return decoding.hierarchical_decode(emissions(spark, sf), 0.7, PRIOR, LOG3, np.log([0.5, 0.3, 0.2]))
-
-
 @query("q13_gate_override", sql("""
     SELECT user_id, night, win, CASE WHEN asleep = 1 AND length <= 1 AND run > 1 AND run < runs THEN 'awake' ELSE phase END AS phase FROM (
       SELECT *, count(*) OVER (PARTITION BY user_id, night, run) AS length, max(run) OVER (PARTITION BY user_id, night) AS runs FROM (
@@ -272,12 +257,6 @@ def q13(spark, sf):
     return sequence.gate_override(joined, 0.68, 0.75, bridge=1).select(*NIGHT_WIN, "phase")
 
 
-@query("q14_quota_decode")
-def q14(spark, sf):
-    e = emissions(spark, sf).withColumn("awake_target", F.lit(0.25))
-    return decoding.quota_decode(e, PRIOR, np.log(TRANS), np.log(INIT))
-
-
 @query("q15_two_stage", sql("""
     SELECT user_id, night, win, a / t AS p0, b / t AS p1, c / t AS p2, d / t AS p3 FROM (SELECT *, a + b + c + d AS t FROM (
       SELECT user_id, night, win, greatest(p_awake * 1.5, 1e-10) AS a, greatest(p1 * (1 - p_awake), 1e-10) AS b, greatest(p2 * (1 - p_awake), 1e-10) AS c, greatest(p3 * (1 - p_awake), 1e-10) AS d FROM emit))""", "emit", "p0 p1 p2 p3"))
@@ -472,17 +451,6 @@ def m13(spark, sf):
     )
 
 
-@query("m14_score_nights")
-def m14(spark, sf):
-    t = training_table(spark, sf)
-    path = work_folder(spark, "model")
-    trans = evaluate.transition_probabilities(evaluate.transition_counts(t))
-    models.save_model(models.fit_stages(t, CORE, 5), trans, path)
-    model, transitions = models.load_model(spark, path)
-    gate = models.fit_gate(t, CORE, 0, 12.0, rounds=2)
-    return models.score_nights(model, gate, transitions, t, CORE).select(*NIGHT_WIN, "phase", "p_awake")
-
-
 @query("io17_model_artefacts")
 def io17(spark, sf):
     t = training_table(spark, sf)

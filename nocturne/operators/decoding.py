@@ -3,6 +3,9 @@
 The nights of an Arrow batch are padded to one (nights, windows, classes) array. Recurrences
 step once per window for all nights together; runs are handled as run-length arrays.
 Bounded by the windows of a night.
+
+Transitions, starts and position priors are fixed arrays or the name of a column that holds the
+flattened array of the window's night, such as parameters learned without its fold.
 """
 
 from __future__ import annotations
@@ -26,13 +29,21 @@ GAINS, LARGEST_SHARE, CLOSE = (0.3, 40.0), 0.6, 0.01
 QUOTA_STEPS, LIGHT_GAIN = 14, 0.8
 
 
+Table = np.ndarray | str
+
+
 class Nights:
     """Padded nights: ``p`` (nights, windows, classes), ``x`` further columns, ``used`` marks real windows."""
 
-    def __init__(self, probabilities: pd.Series, columns: pd.Series):
+    def __init__(self, probabilities: pd.Series, columns: pd.Series, tables: dict[str, pd.Series] | None = None):
         sizes = np.array([len(p) for p in probabilities], int)
         self.used = np.arange(sizes.max(initial=0)) < sizes[:, None]
         self.p, self.x = (self._filled(s) for s in (probabilities, columns))
+        self.tables = {name: np.array([np.asarray(r, float) for r in t]).reshape(len(sizes), -1) for name, t in (tables or {}).items()}
+
+    def table(self, value: Table, *shape: int) -> np.ndarray:
+        """A fixed array as it is, a named one as (nights, *shape)."""
+        return self.tables[value].reshape(len(self.used), *shape) if isinstance(value, str) else np.asarray(value)
 
     def _filled(self, lists: pd.Series) -> np.ndarray:
         rows = [np.stack([np.asarray(r, float) for r in night]) for night in lists if len(night)]
@@ -45,6 +56,10 @@ class Nights:
         return pd.Series([v[u].tolist() for v, u in zip(values, self.used)])
 
 
+def named(*tables: Table) -> list[str]:
+    return [t for t in tables if isinstance(t, str)]
+
+
 def shares(p: np.ndarray) -> np.ndarray:
     return p / np.maximum(p.sum(axis=-1, keepdims=True), TINY)
 
@@ -103,27 +118,41 @@ def lifted(states: np.ndarray, used: np.ndarray, floors: dict[int, int], agree:
 
 
 def decoded(df: DataFrame, decode: Callable[[Nights], np.ndarray], columns: list[str] | None = None, k: int = 4,
-            keys: list[str] = NIGHT, out: str = "state", kind: T.DataType | None = None) -> DataFrame:
-    """One row per window with ``decode``'s value for it; ``columns`` become ``Nights.x``."""
+            keys: list[str] = NIGHT, out: str = "state", kind: T.DataType | None = None, tables: list[str] | None = None) -> DataFrame:
+    """One row per window with ``decode``'s value for it; ``columns`` become ``Nights.x``, ``tables`` are array columns
+    that hold one value for a night and become ``Nights.tables``."""
+    tables = tables or []
 
     @F.pandas_udf(T.ArrayType(kind or T.IntegerType()))
-    def run(probabilities: pd.Series, further: pd.Series) -> pd.Series:
-        nights = Nights(probabilities, further)
+    def run(probabilities: pd.Series, further: pd.Series, *more: pd.Series) -> pd.Series:
+        nights = Nights(probabilities, further, dict(zip(tables, more)))
         return nights.lists(decode(nights))
 
     window = F.struct(
         "win", F.array(*[F.col(f"p{i}").cast("double") for i in range(k)]).alias("p"),
         F.array(*[F.col(c).cast("double") for c in (columns or ["win"])]).alias("x"),
     )
-    nights = df.groupBy(*keys).agg(F.sort_array(F.collect_list(window)).alias("_w"))
-    values = nights.select(*keys, F.arrays_zip(F.col("_w.win").alias("win"), run(F.col("_w.p"), F.col("_w.x")).alias(out)).alias("_v"))
+    nights = df.groupBy(*keys).agg(F.sort_array(F.collect_list(window)).alias("_w"), *[F.first(t).alias(t) for t in tables])
+    values = nights.select(*keys, F.arrays_zip(F.col("_w.win").alias("win"), run(F.col("_w.p"), F.col("_w.x"), *tables).alias(out)).alias("_v"))
     return values.select(*keys, F.explode("_v").alias("_v")).select(*keys, F.col("_v")["win"].alias("win"), F.col("_v")[out].alias(out))
 
 
-def viterbi(df: DataFrame, trans: np.ndarray, init: np.ndarray, temperature: float = 1.0, blend: float = 0.0,
+def viterbi(df: DataFrame, trans: Table, init: Table | None, temperature: float = 1.0, blend: float = 0.0,
             keys: list[str] = NIGHT) -> DataFrame:
-    """Viterbi over ``p0..``; ``trans`` and ``init`` are probabilities of few classes."""
-    return viterbi_log(df, logs(np.asarray(trans)), logs(np.asarray(init)), blend, keys, temperature)
+    """Viterbi over ``p0..``; ``trans`` and ``init`` are probabilities of few classes.
+
+    Without ``init`` a night starts with the mean of its own (blended) probabilities.
+    """
+
+    def decode(n: Nights) -> np.ndarray:
+        p = smoothed(n.p, blend) if blend > 0 else n.p
+        k = p.shape[-1]
+        mean = (p * n.used[..., None]).sum(axis=1) / np.maximum(n.used.sum(axis=1), 1)[:, None]
+        start = mean if init is None else n.table(init, k)
+        return best_paths(logs(p) / temperature, logs(n.table(trans, k, k)), logs(start), n.used)
+
+    k = 4 if isinstance(init, str) or init is None else len(init)
+    return decoded(df, decode, k=k, keys=keys, tables=named(trans, init))
 
 
 def viterbi_log(df: DataFrame, log_trans: np.ndarray, log_init: np.ndarray, blend: float = 0.2,
@@ -144,16 +173,17 @@ def context_blend(df: DataFrame, alpha: float = 0.2, lookback: int = 3, keys: li
     return rows.select(*keys, "win", *[F.col("_p")[i].alias(f"p{i}") for i in range(4)])
 
 
-def _prior_power(fraction: np.ndarray, prior: np.ndarray, alpha: float) -> np.ndarray:
+def _prior_power(n: Nights, fraction: np.ndarray, prior: Table, alpha: float) -> np.ndarray:
     """The position prior's row of each window, raised to ``alpha``."""
-    bins = len(prior)
-    return prior[np.clip((fraction * bins).astype(int), 0, bins - 1)] ** alpha
+    prior = n.table(prior, -1, 4)
+    bins = prior.shape[-2]
+    at = np.clip((fraction * bins).astype(int), 0, bins - 1)
+    return (prior[at] if prior.ndim == 2 else np.take_along_axis(prior, at[..., None], 1)) ** alpha
 
 
-def cascade_decode(df: DataFrame, tau_awake: float, tau_rem: float, prior: np.ndarray, log_trans: np.ndarray,
-                   log_init: np.ndarray, alpha: float = 0.6, keys: list[str] = NIGHT) -> DataFrame:
+def cascade_decode(df: DataFrame, tau_awake: float, tau_rem: float, prior: Table, log_trans: Table,
+                   log_init: Table, alpha: float = 0.6, keys: list[str] = NIGHT) -> DataFrame:
     """Awake gate, then REM gate, the rest light or deep by a two-state Viterbi."""
-    prior, log_trans, log_init = map(np.asarray, (prior, log_trans, log_init))
 
     def decode(n: Nights) -> np.ndarray:
         fraction, p_awake, p_rem = np.moveaxis(n.x, -1, 0)
@@ -162,49 +192,64 @@ def cascade_decode(df: DataFrame, tau_awake: float, tau_rem: float, prior: np.nd
         # the windows left open move to the front of their night and back again
         order = np.argsort(~open_, axis=1, kind="stable")
         front = np.take_along_axis(open_, order, 1)
-        post = shares(shares(n.p[..., LIGHT : DEEP + 1]) * _prior_power(fraction, prior, alpha)[..., LIGHT : DEEP + 1])
+        post = shares(shares(n.p[..., LIGHT : DEEP + 1]) * _prior_power(n, fraction, prior, alpha)[..., LIGHT : DEEP + 1])
         moved = smoothed(np.take_along_axis(post, order[..., None], 1), 0.2)
-        calm = LIGHT + best_paths(logs(moved), log_trans, log_init, front)
+        calm = LIGHT + best_paths(logs(moved), n.table(log_trans, 2, 2), n.table(log_init, 2), front)
         back = np.empty_like(calm)
         np.put_along_axis(back, order, calm, 1)
         return lifted(np.where(open_, back, gated), n.used, FLOORS, False, LIGHT)
 
-    return decoded(df, decode, ["fraction_of_night", "p_awake", "p_rem"], keys=keys)
+    return decoded(df, decode, ["fraction_of_night", "p_awake", "p_rem"], keys=keys, tables=named(prior, log_trans, log_init))
 
 
-def hierarchical_decode(df: DataFrame, tau: float, prior: np.ndarray, log_trans: np.ndarray, log_init: np.ndarray,
+def hierarchical_decode(df: DataFrame, tau: float, prior: Table, log_trans: Table, log_init: Table,
                         gate_weight: float = 0.6, alpha: float = 0.6, min_run: int = 1, keys: list[str] = NIGHT) -> DataFrame:
     """Light, deep and REM by a three-state Viterbi; the awake gate overrides."""
-    prior, log_trans, log_init = map(np.asarray, (prior, log_trans, log_init))
 
     def decode(n: Nights) -> np.ndarray:
         fraction, p_awake, p_rem = np.moveaxis(n.x, -1, 0)
         asleep = n.p[..., LIGHT:] * [1.0, 1.0, 1 - gate_weight] + p_rem[..., None] * [0.0, 0.0, gate_weight]
-        post = smoothed(shares(shares(asleep) * _prior_power(fraction, prior, alpha)[..., LIGHT:]), 0.2)
-        stages = LIGHT + best_paths(logs(post), log_trans, log_init, n.used)
+        post = smoothed(shares(shares(asleep) * _prior_power(n, fraction, prior, alpha)[..., LIGHT:]), 0.2)
+        stages = LIGHT + best_paths(logs(post), n.table(log_trans, 3, 3), n.table(log_init, 3), n.used)
         stages = lifted(stages, n.used, FLOORS, True, LIGHT)
         awake = (p_awake >= tau).astype(int)
         if min_run > 1:
             awake = lifted(awake, n.used, {1: min_run}, True, 0)
         return np.where(awake == 1, AWAKE, stages)
 
-    return decoded(df, decode, ["fraction_of_night", "p_awake", "p_rem"], keys=keys)
+    return decoded(df, decode, ["fraction_of_night", "p_awake", "p_rem"], keys=keys, tables=named(prior, log_trans, log_init))
+
+
+def gated_posterior(n: Nights, prior: Table, gate_weight: float, alpha: float) -> np.ndarray:
+    """Class probabilities with both gates mixed in, times the position prior; ``x`` begins with fraction and gates."""
+    fraction, p_awake, p_rem = np.moveaxis(n.x[..., :3], -1, 0)
+    mix = np.array([gate_weight, 0.0, 0.0, gate_weight])
+    gates = np.stack([p_awake, np.zeros_like(p_awake), np.zeros_like(p_awake), p_rem], axis=-1)
+    return shares((1 - mix) * n.p + mix * gates) * _prior_power(n, fraction, prior, alpha)
+
 
+def gain_decode(df: DataFrame, gains: list[str], prior: Table, log_trans: Table, log_init: Table, gate_weight: float = 0.6,
+                alpha: float = 0.6, keys: list[str] = NIGHT) -> DataFrame:
+    """Viterbi of the gated posterior under class gains (four columns, one value for a night), then the floors."""
 
-def quota_decode(df: DataFrame, prior: np.ndarray, log_trans: np.ndarray, log_init: np.ndarray, target: str = "awake_target",
+    def decode(n: Nights) -> np.ndarray:
+        p = smoothed(shares(gated_posterior(n, prior, gate_weight, alpha) * n.x[..., 3:]), 0.2)
+        return lifted(best_paths(logs(p), n.table(log_trans, 4, 4), n.table(log_init, 4), n.used), n.used, FLOORS, True, LIGHT)
+
+    return decoded(df, decode, ["fraction_of_night", "p_awake", "p_rem", *gains], keys=keys, tables=named(prior, log_trans, log_init))
+
+
+def quota_decode(df: DataFrame, prior: Table, log_trans: Table, log_init: Table, target: str = "awake_target",
                  gate_weight: float = 0.6, alpha: float = 0.6, keys: list[str] = NIGHT) -> DataFrame:
     """Bisection (on a logarithmic scale) of each night's awake gain until the decoded awake share meets its target.
 
     All nights of a batch are bisected side by side; a night that is close enough rests.
     """
-    prior, log_trans, log_init = map(np.asarray, (prior, log_trans, log_init))
-    mix = np.array([gate_weight, 0.0, 0.0, gate_weight])
 
     def decode(n: Nights) -> np.ndarray:
-        fraction, p_awake, p_rem, goals = np.moveaxis(n.x, -1, 0)
-        gates = np.stack([p_awake, np.zeros_like(p_awake), np.zeros_like(p_awake), p_rem], axis=-1)
-        post = shares((1 - mix) * n.p + mix * gates) * _prior_power(fraction, prior, alpha)
-        goal = np.clip(goals[:, 0], 0.0, LARGEST_SHARE)
+        post = gated_posterior(n, prior, gate_weight, alpha)
+        trans, start = n.table(log_trans, 4, 4), n.table(log_init, 4)
+        goal = np.clip(n.x[:, 0, 3], 0.0, LARGEST_SHARE)
         bounds = np.log(np.tile(GAINS, (len(goal), 1)))
         states, active = np.zeros(n.used.shape, int), np.arange(len(goal))
         for _ in range(QUOTA_STEPS):
@@ -215,10 +260,11 @@ def quota_decode(df: DataFrame, prior: np.ndarray, log_trans: np.ndarray, log_in
             gain[:, AWAKE], gain[:, LIGHT] = np.exp(middle), LIGHT_GAIN
             used = n.used[active]
             p = smoothed(shares(post[active] * gain[:, None, :]), 0.2)
-            states[active] = lifted(best_paths(logs(p), log_trans, log_init, used), used, FLOORS, True, LIGHT)
+            own = [t[active] if isinstance(name, str) else t for t, name in ((trans, log_trans), (start, log_init))]
+            states[active] = lifted(best_paths(logs(p), *own, used), used, FLOORS, True, LIGHT)
             share = ((states[active] == AWAKE) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
             bounds[active, (share >= goal[active]).astype(int)] = middle
             active = active[np.abs(share - goal[active]) >= CLOSE]
         return states
 
-    return decoded(df, decode, ["fraction_of_night", "p_awake", "p_rem", target], keys=keys)
+    return decoded(df, decode, ["fraction_of_night", "p_awake", "p_rem", target], keys=keys, tables=named(prior, log_trans, log_init))

@@ -40,6 +40,10 @@ FEATURES_EXTRA = [
     "acc_z_var", "gyro_max", "hr_rise_after_burst", "atonia_score", "breath_irreg", "hr_accel_var", "hr_masd_std",
     "hr_var_x_level",
 ]
+# Features that also come as z-scores of their night.
+ZSCORED = ["hr_std", "rr_std", "sdnn", "rmssd", "hr_range", "gyro_std", "gyro_mean", "hr_max", "hr_mean", "rr_cv",
+           "hr_masd_std", "breath_irreg", "hr_accel_var", "atonia_score"]
+NIGHT_Z = [f"{f}_zn" for f in ZSCORED]
 
 c = F.col
 
@@ -216,9 +220,7 @@ def features_extra(windows: DataFrame, features: DataFrame, ahead: int = 15) ->
         }
     )
     filled = joined.fillna(0.0, FEATURES_EXTRA)
-    z = ["hr_std", "rr_std", "sdnn", "rmssd", "hr_range", "gyro_std", "gyro_mean", "hr_max", "hr_mean", "rr_cv",
-         "hr_masd_std", "breath_irreg", "hr_accel_var", "atonia_score"]
-    return series.night_zscore(filled, z)
+    return series.night_zscore(filled, ZSCORED)
 
 
 def awake_before_sleep(df: DataFrame, bounds: DataFrame, seconds: int = 3600) -> DataFrame:

@@ -108,11 +108,6 @@ def out_of_fold(df: DataFrame, features: list[str], folds: int = 3, trees: int =
     return reduce(DataFrame.unionByName, parts)
 
 
-def leave_one_out_nights(df: DataFrame, features: list[str], nights: int, trees: int = 5) -> DataFrame:
-    """Leave-one-night-out over a fixed number of hash groups of nights."""
-    return out_of_fold(df, features, nights, trees, 2)
-
-
 def mean_ensemble(predictions: list[DataFrame], keys: list[str] = NIGHT_WIN) -> DataFrame:
     """Average of the class probabilities of several models."""
     both = reduce(DataFrame.unionByName, [p.select(*keys, "label", *[f"p{k}" for k in range(4)]) for p in predictions])
@@ -198,31 +193,6 @@ def transition_arrays(df: DataFrame, label: str = "label") -> tuple[np.ndarray,
     return trans, first
 
 
-def position_array(df: DataFrame, bins: int = 10) -> np.ndarray:
-    """Position prior as an array of ``bins`` rows."""
-    prior = np.ones((bins, 4))
-    for r in evaluate.position_prior(df, bins=bins).collect():
-        prior[r["bin"]] = [r[f"r{k}"] for k in range(4)]
-    return prior
-
-
-def sub_transitions(df: DataFrame, classes: list[int], gain: float, most: float) -> np.ndarray:
-    """Sticky log transitions among some classes, other windows left out first."""
-    kept = df.where(F.col("label").isin(classes))
-    n = len(classes)
-    counts = np.full((n, n), 0.1)
-    for r in evaluate.transition_counts(kept).collect():
-        if r["a"] in classes and r["b"] in classes:
-            counts[classes.index(r["a"]), classes.index(r["b"])] += r["n"]
-    t = counts / counts.sum(axis=1, keepdims=True)
-    for i in range(n):
-        stay = min(most, t[i, i] * gain)
-        rest = 1 - t[i, i]
-        t[i] *= (1 - stay) / rest if rest > 0 else 1
-        t[i, i] = stay
-    return np.log(np.clip(t, 1e-10, 1.0))
-
-
 def save_model(model: PipelineModel, transitions: DataFrame, path: str) -> None:
     """Fitted model and transition table below one path."""
     model.write().save(f"{path}/model")
@@ -233,18 +203,16 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/transitions")
 
 
-def score_nights(model: PipelineModel, gate: PipelineModel, transitions: DataFrame, windows: DataFrame,
-                 features: list[str], tau: float = 0.3, rem_protect: float = 0.6, bridge: int = 2) -> DataFrame:
-    """Stages of whole nights: class model, blend, Viterbi, awake gate and bridge."""
-    trans = np.full((4, 4), 1e-10)
-    for r in transitions.collect():
-        trans[r["a"], r["b"]] = r["p"]
-    probs = stage_probabilities(model, windows, features)
-    probs = gate_probability(gate, probs, features, "p_awake")
-    path = decoding.viterbi(probs, trans, np.full(4, 0.25), blend=0.2)
+def deployed_stages(probabilities: DataFrame, trans: decoding.Table, tau: float = 0.3, rem_protect: float = 0.6, bridge: int = 2) -> DataFrame:
+    """Stages of whole nights as a deployed model predicts them.
+
+    ``probabilities`` has ``p0`` to ``p3``, ``p_awake`` and ``hours_since_onset``. They are blended, and the Viterbi path of a night starts
+    with the mean of its own probabilities. Then come the architecture rules by window time, the awake gate and the bridge.
+    """
     from nocturne.functions.scalars import stage_name
 
-    named = path.withColumn("phase", stage_name(F.col("state"))).join(
-        probs.select(*NIGHT_WIN, "p_awake", "label"), NIGHT_WIN
-    )
-    return sequence.gate_override(named, tau, rem_protect, bridge=bridge)
+    path = decoding.viterbi(probabilities, trans, None, blend=0.2)
+    timed = path.join(probabilities.select(*NIGHT_WIN, "hours_since_onset"), NIGHT_WIN)
+    ruled = sequence.architecture_rules(timed.withColumn("phase", stage_name(F.col("state"))))
+    gated = ruled.join(probabilities.select(*NIGHT_WIN, "p_awake"), NIGHT_WIN)
+    return sequence.gate_override(gated, tau, rem_protect, bridge=bridge)
