@@ -3,17 +3,15 @@
 from pyspark.sql import functions as F
 
 from catalog.base import cte, query, sql
-from catalog.model_queries import _CHECK_A, emissions, frame_a, training_table
+from catalog.model_queries import _CHECK_A, FOLD, FOLDS, emissions, fold_of, frame_a, train_and_test, training_table
 from catalog.stage_queries import smooth_sql
 from nocturne.functions.scalars import stage_name
 from nocturne.operators import decoding, evaluate, sequence
 from nocturne.operators.nights import NIGHT
 from nocturne.operators.window_stats import NIGHT_WIN
 from nocturne.plans import features, held_out, models
-from nocturne.session import cut_lineage
+from nocturne.session import cut_lineage, work_folder
 
-FOLDS = 3
-FOLD = "(user_id + CAST(substr(night, 9, 2) AS INT)) % 3"
 KEYS = "user_id, night"
 _SAVED = {}
 
@@ -22,8 +20,7 @@ def folded(spark, sf):
     """Class and gate probabilities of short windows, labelled, with the decoder tables of the other folds."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SAVED:
-        fold = ((F.col("user_id") + F.substring("night", 9, 2).cast("int")) % FOLDS).cast("int")
-        _SAVED[key] = cut_lineage(emissions(spark, sf).withColumn("fold", fold), "emissions")
+        _SAVED[key] = cut_lineage(emissions(spark, sf).withColumn("fold", fold_of()), "emissions")
     return held_out.with_fold_tables(_SAVED[key])
 
 
@@ -273,13 +270,14 @@ def m14_deployed(spark, sf):
 
 @query("m14_score_nights")
 def m14(spark, sf):
-    """Models of two folds score the third: class model on the first feature set, gate on the augmented set with z-columns."""
+    """Models of the other folds score fold 0: class model on the first feature set, gate on the augmented set with z-columns."""
     t = augmented_table(spark, sf)
-    fold = models.night_fold(FOLDS)
-    train, test = t.where(fold != 0), t.where(fold == 0)
+    train, test = t.where(fold_of() != 0), t.where(fold_of() == 0)
     gate_features = [*features.FEATURES_A, *features.FEATURES_EXTRA, *features.NIGHT_Z]
     trans = held_out.decoder_tables(held_out.label_counts(train.withColumn("all", F.lit(1)), ["all"])).select("trans")
-    model, gate = models.fit_stages(train, features.FEATURES_A, 5), models.fit_gate(train, gate_features, 0, 12.0, rounds=2)
+    path = work_folder(spark, "model")
+    models.save_model(models.fit_stages(train, features.FEATURES_A, 5), trans, path)
+    (model, trans), gate = models.load_model(spark, path), models.fit_gate(train, gate_features, 0, 12.0, rounds=2)
     scored = models.gate_probability(gate, models.stage_probabilities(model, test, features.FEATURES_A), gate_features, "p_awake")
     # one row of sixteen numbers
     scored = scored.withColumn("trans", F.array(*[F.lit(p) for p in trans.first()[0]]))
@@ -294,3 +292,34 @@ def augmented_table(spark, sf):
         whole = features.features_extra(features.windows_of(night_rows(spark, sf), 20, None, 30, 3), frame_a(spark, sf))
         _SAVED[key] = cut_lineage(whole.select(*NIGHT_WIN, "label", *features.FEATURES_A, *features.FEATURES_EXTRA, *features.NIGHT_Z), "augmented")
     return _SAVED[key]
+
+
+# ------------------------------------------------------------------ models that see other nights only
+
+
+@query("m9_bayes_posterior", sql("SELECT user_id, night, win, p0, p1, p2, p3 FROM lo_p", "lo_p", "p0 p1 p2 p3", digits=4), digits=4)
+def m9(spark, sf):
+    return held_out.leave_one_night_out(training_table(spark, sf), _FEATURES).select(*NIGHT_WIN, "p0", "p1", "p2", "p3")
+
+
+@query("m4_stage_classifier", sql(f"SELECT label, count(*) AS windows, count(*) AS proper, 0 AS shared_nights FROM lo WHERE {FOLD} = 0 GROUP BY 1", "lo"))
+def m4(spark, sf):
+    """Boosted trees on all features: every held-out window gets shares that add up to 1, and no night is on both sides."""
+    train, test = train_and_test(spark, sf)
+    scored = models.boosted_probabilities(models.fit_boosted(train, features.FEATURES_A, 2, 3), test, features.FEATURES_A)
+    p = [F.col(f"p{k}") for k in range(4)]
+    proper = (F.abs(p[0] + p[1] + p[2] + p[3] - 1) < 1e-9) & (F.least(*p) >= 0)
+    both = train.select(*NIGHT).distinct().join(test.select(*NIGHT).distinct(), NIGHT).count()
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("windows"), F.count(F.when(proper, 1)).alias("proper")).withColumn("shared_nights", F.lit(both))
+
+
+@query("io17_model_artefacts", sql("""
+    SELECT pred, count(*) AS n, any_value(nights) AS nights FROM (
+      SELECT CASE WHEN p0 >= greatest(p1, p2, p3) THEN 0 WHEN p1 >= greatest(p2, p3) THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS pred, (SELECT count(*) FROM lo_nights) AS nights FROM lo_p) GROUP BY 1""", "lo_p lo_nights"))
+def io17(spark, sf):
+    """Models of all nights written, read back and used."""
+    t, path = training_table(spark, sf), work_folder(spark, "models")
+    held_out.night_models(t, _FEATURES).write.parquet(path)
+    loaded = spark.read.parquet(path)
+    scored = models.best_class(held_out.score_by_night(t, loaded, _FEATURES))
+    return scored.groupBy("pred").agg(F.count(F.lit(1)).alias("n")).withColumn("nights", F.lit(loaded.count()))

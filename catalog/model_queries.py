@@ -11,7 +11,7 @@ from nocturne.operators import decoding, evaluate, order_stats, sequence
 from nocturne.operators.nights import NIGHT
 from nocturne.operators.window_stats import NIGHT_WIN
 from nocturne.plans import features, models
-from nocturne.session import cut_lineage, work_folder
+from nocturne.session import cut_lineage
 from nocturne.sources.adapters import daily_scores, official_scores, sensor
 
 # ------------------------------------------------------------------ evaluation
@@ -328,10 +328,16 @@ def m3(spark, sf):
     return f.select(*NIGHT_WIN, "acc_z_var", "gyro_max", "atonia_score", "hr_masd_std", "hr_accel_var", "hr_var_x_level", "breath_irreg")
 
 
-CORE = ["hr_mean", "hr_std", "rmssd", "mv_mean", "mv_energy", "rr_mean", "gyro_std", "fraction_of_night"]
+FOLDS = 3
+#: Fold of a night by user and day, the same for all its windows; fold 0 is held out.
+FOLD = "((user_id + CAST(substr(night, 9, 2) AS INT)) % 3)"
 _TABLES = {}
 
 
+def fold_of(key="night"):
+    return ((F.col("user_id") + F.substring(key, 9, 2).cast("int")) % FOLDS).cast("int")
+
+
 def training_table(spark, sf):
     """The feature table, written once per application: folds scan it many times."""
     key = (spark.sparkContext.applicationId, sf)
@@ -340,28 +346,30 @@ def training_table(spark, sf):
     return _TABLES[key]
 
 
-@query("m4_stage_classifier")
-def m4(spark, sf):
+def train_and_test(spark, sf):
     t = training_table(spark, sf)
-    model = models.fit_stages(t, CORE, trees=10)
-    return evaluate.classification_report(models.best_class(models.stage_probabilities(model, t, CORE)))
+    return t.where(fold_of() != 0), t.where(fold_of() == 0)
 
 
 @query("m5_gates")
 def m5(spark, sf):
-    t = training_table(spark, sf)
-    gate = models.fit_gate(t, CORE, 0, 12.0, rounds=3)
-    scored = models.gate_probability(gate, t, CORE, "p_awake")
-    return order_stats.roc_auc(scored, "p_awake", F.col("label") == 0)
+    train, test = train_and_test(spark, sf)
+    gates = [(0, 12.0, "p_awake"), (3, 3.0, "p_rem")]
+    fitted = models.side_by_side([lambda k=k, w=w: models.fit_gate(train, features.FEATURES_A, k, w, rounds=3) for k, w, _ in gates])
+    areas = [
+        order_stats.roc_auc(models.gate_probability(gate, test, features.FEATURES_A, out), out, F.col("label") == k).withColumn("gate", F.lit(out))
+        for gate, (k, _, out) in zip(fitted, gates)
+    ]
+    return areas[0].unionByName(areas[1])
 
 
 @query("m6_score_regressor")
 def m6(spark, sf):
     d = daily_scores(spark, sf).join(
         official_scores(spark, sf).select("user_id", "date", F.col("recovery").alias("target")), ["user_id", "date"]
-    ).where("target is not null")
+    ).where("target is not null").withColumn("fold", fold_of("date"))
     names = ["hrv", "rhr", "resp", "sleep", "strain"]
-    scored = models.fit_score(d, names, "target", rounds=5).transform(models.finite(d, names))
+    scored = models.fit_score(d.where("fold != 0"), names, "target", rounds=5).transform(models.finite(d.where("fold = 0"), names))
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"))
 
 
@@ -370,7 +378,7 @@ def oof(spark, sf):
     if key not in _TABLES:
         t = training_table(spark, sf)
         _TABLES[key] = cut_lineage(
-            models.out_of_fold(t, CORE, 2, 5, 2).select(*NIGHT_WIN, "label", "fraction_of_night", "p0", "p1", "p2", "p3", "p_awake", "p_rem", "fold"), "oof"
+            models.out_of_fold(t, features.FEATURES_A, 2, 5, 2).select(*NIGHT_WIN, "label", "fraction_of_night", "p0", "p1", "p2", "p3", "p_awake", "p_rem", "fold"), "oof"
         )
     return _TABLES[key]
 
@@ -380,49 +388,57 @@ def m7(spark, sf):
     return evaluate.classification_report(models.best_class(oof(spark, sf)), by=["fold"])
 
 
-@query("m8_mean_ensemble")
+@query("m8_bake_off")
 def m8(spark, sf):
-    t = training_table(spark, sf)
-    a = models.stage_probabilities(models.fit_stages(t, CORE, 5), t, CORE)
-    b = models.stage_probabilities(models.fit_bayes(t, CORE), t, CORE)
-    return evaluate.classification_report(models.best_class(models.mean_ensemble([a, b])))
-
-
-@query("m9_bayes_posterior")
-def m9(spark, sf):
-    t = training_table(spark, sf)
-    scored = models.stage_probabilities(models.fit_bayes(t, CORE), t, CORE)
-    return scored.select(*NIGHT_WIN, "p0", "p1", "p2", "p3")
+    train, test = train_and_test(spark, sf)
+    return models.bake_off_report(models.bake_off(train, test, features.FEATURES_A, 5, 2))
 
 
 @query("m10_awake_share_regressor")
 def m10(spark, sf):
     t = training_table(spark, sf)
-    nights = evaluate.night_summary(t, ["hr_std", "gyro_std", "rmssd"])
+    nights = evaluate.night_summary(t, ["hr_std", "gyro_std", "rmssd", "hr_range", "rr_std", "hr_max"])
     share = t.groupBy(*NIGHT).agg(F.avg((F.col("label") == 0).cast("double")).alias("awake_share"))
-    d = nights.join(share, NIGHT)
+    d = nights.join(share, NIGHT).withColumn("fold", fold_of())
     names = [c for c in nights.columns if c not in NIGHT]
-    scored = models.fit_score(d, names, "awake_share", rounds=3).transform(models.finite(d, names))
+    scored = models.fit_score(d.where("fold != 0"), names, "awake_share", rounds=3).transform(models.finite(d.where("fold = 0"), names))
     return scored.select(*NIGHT, F.greatest(F.lit(0.0), F.col("prediction")).alias("awake_target"))
 
 
 @query("m11_importance")
 def m11(spark, sf):
-    t = training_table(spark, sf)
-    model = models.fit_stages(t, CORE, 5)
-    return models.impurity_importance(model, CORE, spark).join(
-        models.permutation_importance(model, t, CORE, ["hr_mean", "hr_std"]).withColumnRenamed("importance", "accuracy_loss"), "feature", "left"
+    train, test = train_and_test(spark, sf)
+    model = models.fit_stages(train, features.FEATURES_A, 5)
+    return models.impurity_importance(model, features.FEATURES_A, spark).join(
+        models.permutation_importance(model, test, features.FEATURES_A).withColumnRenamed("importance", "accuracy_loss"), "feature"
     )
 
 
-@query("m12_threshold_sweep")
+def report_sql(by: str, source: str) -> str:
+    """The classification report of rows with label and pred."""
+    ratio = lambda hit, n: f"CASE WHEN count(CASE WHEN {n} THEN 1 END) > 0 THEN count(CASE WHEN {hit} THEN 1 END) / count(CASE WHEN {n} THEN 1 END) ELSE 0 END"
+    recall = [ratio(f"label = {k} AND pred = {k}", f"label = {k}") for k in range(4)]
+    return f"""SELECT {by}, count(*) AS n, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS accuracy, {', '.join(f'{r} AS recall_{k}' for k, r in enumerate(recall))},
+      {', '.join(f'{ratio(f"label = {k} AND pred = {k}", f"pred = {k}")} AS precision_{k}' for k in range(4))}, least({', '.join(recall)}) AS min_recall FROM ({source}) GROUP BY {by}"""
+
+
+_BEST = "CASE WHEN {0} >= greatest({1}, {2}, {3}) THEN 0 WHEN {1} >= greatest({2}, {3}) THEN 1 WHEN {2} >= {3} THEN 2 ELSE 3 END"
+_REPORT = "accuracy recall_0 recall_1 recall_2 recall_3 precision_0 precision_1 precision_2 precision_3 min_recall"
+_LABELLED = "(SELECT e.*, l.label FROM emit e JOIN wl6 l ON l.user_id = e.user_id AND l.night = e.night AND l.win = e.win)"
+
+
+@query("m12_threshold_sweep", sql(report_sql("tau, protect", f"""
+    SELECT tau, protect, label, CASE WHEN p_awake >= tau AND (best <> 3 OR p_awake >= protect) THEN 0 ELSE best END AS pred
+    FROM (SELECT *, {_BEST.format('p0', 'p1', 'p2', 'p3')} AS best FROM {_LABELLED}), (SELECT unnest([0.6E0, 0.66E0, 0.7E0]) AS tau), (SELECT unnest([0.65E0, 0.75E0]) AS protect)"""), "emit wl6", "tau protect " + _REPORT))
 def m12(spark, sf):
-    return models.threshold_sweep(oof(spark, sf), [0.25, 0.35, 0.45], [0.5, 0.6])
+    return models.threshold_sweep(emissions(spark, sf), [0.6, 0.66, 0.7], [0.65, 0.75])
 
 
-@query("m12_gain_sweep")
+@query("m12_gain_sweep", sql(report_sql("g0, g1, g2, g3", f"""
+    SELECT g0, 1.0E0 AS g1, 1.0E0 AS g2, g3, label, {_BEST.format('p0 * g0', 'p1', 'p2', 'p3 * g3')} AS pred
+    FROM {_LABELLED}, (SELECT unnest([1.0E0, 2.0E0, 3.0E0]) AS g0), (SELECT unnest([1.0E0, 1.5E0]) AS g3)"""), "emit wl6", "g0 g1 g2 g3 " + _REPORT))
 def m12_gain(spark, sf):
-    return models.gain_sweep(oof(spark, sf), [{"g0": a, "g1": 1.0, "g2": 1.0, "g3": r} for a in (1, 2, 3) for r in (1, 1.5)])
+    return models.gain_sweep(emissions(spark, sf), [{"g0": a, "g1": 1.0, "g2": 1.0, "g3": r} for a in (1, 2, 3) for r in (1, 1.5)])
 
 
 @query("m12_score_sweep", sql("""
@@ -449,17 +465,3 @@ def m13(spark, sf):
     return before.groupBy(*NIGHT).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("first_ts"), F.max("label").alias("label")
     )
-
-
-@query("io17_model_artefacts")
-def io17(spark, sf):
-    t = training_table(spark, sf)
-    path = work_folder(spark, "model")
-    models.save_model(models.fit_bayes(t, CORE), evaluate.transition_counts(t), path)
-    model, transitions = models.load_model(spark, path)
-    scored = models.best_class(models.stage_probabilities(model, t, CORE))
-    return scored.groupBy("pred").agg(F.count(F.lit(1)).alias("n")).join(
-        transitions.groupBy(F.col("a").alias("pred")).agg(F.sum("n").alias("transitions")), "pred"
-    )
-
-

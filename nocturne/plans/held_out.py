@@ -149,30 +149,43 @@ def night_parameters(df: DataFrame, features: list[str], label: str = "label", s
     return night.select(*NIGHT, F.transform("c", fitted).alias("model"))
 
 
-def leave_one_night_out(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """``df`` with ``p0`` to ``p3``, each night's class probabilities by naive Bayes over all other nights,
-    and ``trans`` and ``start``, the other nights' transition and first-class probabilities.
+def finite(df: DataFrame, features: list[str]) -> DataFrame:
+    """Missing and infinite features as 0."""
+    return df.withColumns({f: F.when(F.isnan(f) | F.col(f).isNull() | (F.abs(f) == float("inf")), 0.0).otherwise(F.col(f).cast("double")) for f in features})
+
 
-    Missing and infinite features are 0. Two aggregations in all, whatever the number of nights.
+def night_models(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """Per night: ``shift`` per feature, ``model`` of ``night_parameters``, ``trans`` and ``start``, learned from all other nights.
+
+    Two aggregations in all, whatever the number of nights.
     """
-    clean = {f: F.when(F.isnan(f) | F.col(f).isNull() | (F.abs(f) == float("inf")), 0.0).otherwise(F.col(f).cast("double")) for f in features}
-    df = cut_lineage(df.withColumns(clean), "lono")
+    df = finite(df, features)
     # any shift gives the same model; one near the mean keeps the squares small
     means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
-    moved = df.withColumns({f: F.col(f) - float(round(means[f] or 0.0)) for f in features})
-    tables = decoder_tables(without_own(label_counts(df, NIGHT, label))).select(*NIGHT, "trans", "start")
-    joined = moved.join(night_parameters(moved, features, label), NIGHT).join(tables, NIGHT)
-    x = F.array(*features)
+    shift = {f: float(round(means[f] or 0.0)) for f in features}
+    moved = cut_lineage(df.withColumns({f: F.col(f) - v for f, v in shift.items()}), "moved")
+    tables = decoder_tables(without_own(label_counts(moved, NIGHT, label))).select(*NIGHT, "trans", "start")
+    return night_parameters(moved, features, label).join(tables, NIGHT).withColumn("shift", F.array(*[F.lit(v) for v in shift.values()]))
+
+
+def score_by_night(df: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
+    """``df`` with ``p0`` to ``p3`` by the model of each window's night, and that night's ``trans`` and ``start``."""
+    df = finite(df.drop("p0", "p1", "p2", "p3", "trans", "start", "model", "shift"), features)
+    x = F.zip_with(F.array(*features), "shift", lambda a, b: a - b)
 
     def likelihood(m: Column) -> Column:
-        terms = F.zip_with(F.zip_with(x, m["mean"], lambda a, b: a - b), m["weight"], lambda d, w: d * d * w)
+        terms = F.zip_with(F.zip_with("_x", m["mean"], lambda a, b: a - b), m["weight"], lambda d, w: d * d * w)
         return m["base"] - 0.5 * F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 
-    scored = joined.withColumn("_l", F.transform("model", likelihood))
+    scored = df.join(models, NIGHT).withColumn("_x", x).withColumn("_l", F.transform("model", likelihood))
     odds = F.transform("_l", lambda v: F.coalesce(F.exp(v - F.array_max("_l")), F.lit(0.0)))
     scored = scored.withColumn("_e", odds).withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v))
-    probabilities = scored.select(*NIGHT, "win", "trans", "start", *[(F.get("_e", F.lit(k)) / F.col("_t")).alias(f"p{k}") for k in CLASSES])
-    return df.drop(*[c for c in ("p0", "p1", "p2", "p3", "trans", "start") if c in df.columns]).join(probabilities, [*NIGHT, "win"])
+    return scored.withColumns({f"p{k}": F.get("_e", F.lit(k)) / F.col("_t") for k in CLASSES}).drop("_x", "_l", "_e", "_t", "model", "shift")
+
+
+def leave_one_night_out(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """``df`` with each night's class probabilities by naive Bayes over all other nights, see ``night_models``."""
+    return score_by_night(df, night_models(df, features, label), features)
 
 
 # ------------------------------------------------------------------ gains by coordinates

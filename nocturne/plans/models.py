@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -51,6 +53,44 @@ def fit_stages(train: DataFrame, features: list[str], trees: int = 20, depth: in
     return Pipeline(stages=[assembler(features), model]).fit(data)
 
 
+def fit_boosted(train: DataFrame, features: list[str], rounds: int = 10, depth: int = 4, classes: tuple[int, ...] = (0, 1, 2, 3)) -> dict[int, PipelineModel]:
+    """Boosted trees for each class against the rest, windows weighted by class; the fits run side by side.
+
+    A class that the training windows lack, or that all of them have, gets no model.
+    """
+    data = finite(train, features).withColumn("w", class_weight(F.col("label"))).cache()
+    seen = {r.label for r in data.select("label").distinct().collect()}  # four at most
+
+    def fit(k: int) -> PipelineModel:
+        model = GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, seed=42, stepSize=0.1)
+        return Pipeline(stages=[assembler(features), model]).fit(data.withColumn("y", (F.col("label") == k).cast("double")))
+
+    wanted = [k for k in classes if k in seen and len(seen) > 1]
+    fitted = dict(zip(wanted, side_by_side([lambda k=k: fit(k) for k in wanted])))
+    data.unpersist()
+    return fitted
+
+
+def side_by_side(jobs: list) -> list:
+    """Results of independent fits, submitted together so that their Spark jobs share the cluster."""
+    if not jobs:
+        return []
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
+def boosted_probabilities(fitted: dict[int, PipelineModel], df: DataFrame, features: list[str]) -> DataFrame:
+    """Columns ``p0`` to ``p3``: the one-against-rest probabilities as shares; classes without a model get none."""
+    scored = finite(df, features)
+    for k in range(4):
+        if k in fitted:
+            scored = gate_probability(fitted[k], scored, features, f"p{k}")
+        else:
+            scored = scored.withColumn(f"p{k}", F.lit(0.0))
+    total = F.col("p0") + F.col("p1") + F.col("p2") + F.col("p3")
+    return scored.withColumn("_t", total).withColumns({f"p{k}": F.when(F.col("_t") > 0, F.col(f"p{k}") / F.col("_t")).otherwise(0.25) for k in range(4)}).drop("_t")
+
+
 def fit_gate(train: DataFrame, features: list[str], target: int, weight: float, rounds: int = 10,
              depth: int = 4) -> PipelineModel:
     """Boosted trees for one stage against the rest with a positive weight."""
@@ -124,29 +164,48 @@ def impurity_importance(model: PipelineModel, features: list[str], spark: SparkS
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], tested: list[str]) -> DataFrame:
-    """Accuracy lost when one feature takes its values from another window.
+def permuted(df: DataFrame, features: list[str], seed: int = 42) -> DataFrame:
+    """Every window once per feature (``feature``, its number), that feature's value taken from another window of its night.
 
-    The value comes from the window next in a hash order of the same night, so the
-    exchange is a window function, not a join of shuffled tables.
+    The windows of a night are numbered twice, by ``win`` and, for each feature, by a seeded hash: the value
+    moves from one number to the other, so each feature keeps its values within a night. Bounded by the windows of a night.
     """
-    from pyspark.sql import Window as W
+    row = F.struct("win", "label", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    nights = df.groupBy(*NIGHT).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    number = F.sequence(F.lit(0), F.lit(len(features) - 1))
+    mixed = lambda i: F.transform(F.array_sort(F.transform("rows", lambda r: F.struct(F.xxhash64(F.lit(seed), i, r.win).alias("h"), F.get(r.x, i).alias("v")))), lambda s: s.v)
+    nights = nights.withColumn("moved", F.transform(number, mixed))
+    windows = nights.select(*NIGHT, "moved", F.posexplode("rows").alias("at", "r"))
+    one = windows.select(*NIGHT, "r.*", F.transform("moved", lambda m: F.get(m, F.col("at"))).alias("other")).select("*", F.explode(number).alias("feature"))
+    values = [F.when(F.col("feature") == i, F.get("other", F.lit(i))).otherwise(F.get("x", F.lit(i))).alias(f) for i, f in enumerate(features)]
+    return one.select(*NIGHT_WIN, "label", "feature", *values)
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], seed: int = 42) -> DataFrame:
+    """Accuracy lost for every feature when its values are exchanged within the nights; all features are scored in one pass."""
+    right = F.avg((F.col("pred") == F.col("label")).cast("double"))
+    base = best_class(stage_probabilities(model, df, features)).agg(right.alias("base")).first()[0]
+    scored = best_class(stage_probabilities(model, permuted(finite(df, features), features, seed), features)).groupBy("feature").agg(right.alias("accuracy"))
+    names = F.array(*[F.lit(f) for f in features])
+    return scored.select(F.get(names, F.col("feature")).alias("feature"), (F.lit(base) - F.col("accuracy")).alias("importance"))
+
+
+def bake_off(train: DataFrame, test: DataFrame, features: list[str], trees: int = 10, rounds: int = 3) -> dict[str, DataFrame]:
+    """Held-out class probabilities per model, and ``ensemble``, their mean. The fits run side by side on the same written rows."""
+    forest, bayes, boosted = side_by_side([
+        lambda: fit_stages(train, features, trees), lambda: fit_bayes(train, features), lambda: fit_boosted(train, features, rounds, 3),
+    ])
+    scored = {
+        "forest": stage_probabilities(forest, test, features), "bayes": stage_probabilities(bayes, test, features),
+        "boosted": boosted_probabilities(boosted, test, features),
+    }
+    return scored | {"ensemble": mean_ensemble(list(scored.values()))}
 
-    base = best_class(stage_probabilities(model, df, features)).agg(
-        F.avg((F.col("pred") == F.col("label")).cast("double")).alias("base")
-    )
-    order = W.partitionBy(*NIGHT).orderBy(F.xxhash64("win"))
-    parts = []
-    for f in tested:
-        moved = df.withColumn(f, F.coalesce(F.lead(f).over(order), F.first(f).over(order)))
-        acc = best_class(stage_probabilities(model, moved, features)).agg(
-            F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")
-        )
-        parts.append(acc.select(F.lit(f).alias("feature"), "accuracy"))
-    scored = reduce(DataFrame.unionByName, parts)
-    return scored.withColumn("base", base.scalar()).select(
-        "feature", (F.col("base") - F.col("accuracy")).alias("importance")
-    )
+
+def bake_off_report(scored: dict[str, DataFrame]) -> DataFrame:
+    """One classification report with a row for each model and class."""
+    marked = [best_class(df).select(F.lit(name).alias("model"), *NIGHT_WIN, "label", "pred") for name, df in scored.items()]
+    return evaluate.classification_report(reduce(DataFrame.unionByName, marked), by=["model"])
 
 
 def threshold_sweep(df: DataFrame, taus: list[float], protects: list[float]) -> DataFrame:
