@@ -8,6 +8,7 @@ which are one row per user.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,27 +74,27 @@ def activity_sessions(stream: DataFrame, above: float, gap: str = "30 seconds",
     """Sessions of rows at or above a heart rate, closed by a gap.
 
     For the append mode: a session is emitted once, when the watermark has passed it, and leaves
-    the state. At the end of the data ``closing_row`` moves the watermark past the last ones.
+    the state. At the end of the data ``closing_row`` moves the watermark past the last ones; rows whose column ``closing``
+    is true make no session.
     """
+    closing = F.coalesce(F.col("closing"), F.lit(False)) if "closing" in stream.columns else F.lit(False)
     return stream.where(F.col("hr") >= above).withWatermark("event_time", delay).groupBy(
         "user_id", F.session_window("event_time", gap).alias("s")
     ).agg(
+        F.max(closing).alias("_closing"),  # as a key the filter would be pushed below the watermark
         F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"),
         F.avg("hr").alias("avg_hr"), F.max("hr").alias("max_hr"),
-    ).where(F.col("end_ts") - F.col("start_ts") >= min_s).select(
+    ).where((F.col("end_ts") - F.col("start_ts") >= min_s) & ~F.col("_closing")).select(
         "user_id", "start_ts", "end_ts", "n_rows", "avg_hr", "max_hr"
     )
 
 
-CLOSER = -1  # the user of closing rows, whose own session never ends
-
-
 def closing_row(rows: DataFrame, above: float, after: str) -> DataFrame:
-    """One row with the columns of ``rows`` (``user_id``, ``hr``, ``event_time``, ``timestamp``) that lies ``after``,
+    """One row with the columns of ``rows`` (``closing``, ``hr``, ``event_time``, ``timestamp`` and others) that lies ``after``,
     an interval longer than delay and gap together, behind the last of them."""
     last = rows.agg(F.max("event_time").alias("event_time")).where("event_time IS NOT NULL")
     row = last.select(
-        F.lit(CLOSER).cast("long").alias("user_id"), F.lit(above).alias("hr"), (F.col("event_time") + F.expr(f"INTERVAL {after}")).alias("event_time"),
+        F.lit(True).alias("closing"), F.lit(above).alias("hr"), (F.col("event_time") + F.expr(f"INTERVAL {after}")).alias("event_time"),
     ).withColumn("timestamp", F.unix_seconds("event_time"))
     return row.select(*[(F.col(f.name) if f.name in row.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
 
@@ -108,30 +109,37 @@ def daily_counter(stream: DataFrame, value: str, delay: str = DELAY) -> DataFram
 def running_baseline(stream: DataFrame, value: str, alpha: float = 0.1) -> DataFrame:
     """Exponential baseline per user over daily rows (``date``, ``value``).
 
-    State is two numbers and the last day of a user. Days of a batch are sorted; a
-    day up to the last one seen is late and ignored, the batch job corrects it.
+    State is the days of a user in order with their values and the baseline up to each: a late day is put in its place
+    and only what follows is folded again, so any order of batches gives the batch result. The first row of a day
+    counts, days without a value are left out. Bounded by the calendar.
     """
     out = T.StructType([
         T.StructField("user_id", T.LongType()), T.StructField("date", T.DateType()),
         T.StructField("baseline", T.DoubleType()), T.StructField("days", T.LongType()),
     ])
     kept = T.StructType([
-        T.StructField("baseline", T.DoubleType()), T.StructField("days", T.LongType()), T.StructField("last", T.StringType()),
+        T.StructField("days", T.ArrayType(T.StringType())), T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("baselines", T.ArrayType(T.DoubleType())),
     ])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        baseline, days, last = state.get if state.exists else (None, 0, "")
-        rows = pd.concat(list(batches)).sort_values("date")
+        days, values, baselines = (list(x) for x in state.get) if state.exists else ([], [], [])
+        rows = pd.concat(list(batches)).dropna(subset=["value"])
+        changed = len(days)
         for day, v in zip(rows["date"].astype(str), rows["value"]):
-            if day <= last or pd.isna(v):
+            at = bisect_left(days, day)
+            if at < len(days) and days[at] == day:
                 continue
-            baseline = float(v) if baseline is None else alpha * float(v) + (1 - alpha) * baseline
-            days, last = days + 1, day
-        if baseline is None:
+            days.insert(at, day)
+            values.insert(at, float(v))
+            changed = min(changed, at)
+        if not days:
             return
-        state.update((baseline, days, last))
+        baselines = baselines[:changed]
+        for v in values[changed:]:
+            baselines.append(v if not baselines else alpha * v + (1 - alpha) * baselines[-1])
+        state.update((days, values, baselines))
         yield pd.DataFrame({
-            "user_id": [key[0]], "date": [pd.Timestamp(last).date()], "baseline": [baseline], "days": [days],
+            "user_id": [key[0]], "date": [pd.Timestamp(days[-1]).date()], "baseline": [baselines[-1]], "days": [len(days)],
         })
 
     daily = stream.select("user_id", "date", F.col(value).cast("double").alias("value"))
@@ -160,13 +168,6 @@ def written_rows(spark: SparkSession, target: str, schema: T.StructType) -> Data
     return spark.read.schema(full).parquet(target)
 
 
-def latest_updates(spark: SparkSession, target: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """The newest version of every updated row."""
-    rest = [f.name for f in schema.fields if f.name not in keys]
-    rows = written_rows(spark, target, schema)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
-
-
 def incremental_export(stream: DataFrame, folder: str, after_s: int = 0) -> str:
     """Rows after the server's high watermark, each exported once across restarts."""
     return run_available(stream.where(F.col("timestamp") > after_s), folder)
