@@ -23,6 +23,9 @@ def local_session(app: str = "nocturne", cpus: int | str = 8, memory: str = "12g
     )
 
 
+_LOCAL: dict[str, str] = {}  # of applications without a shared folder
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for checkpoints and intermediate tables.
 
@@ -33,8 +36,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="nocturne-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        key = spark.sparkContext.applicationId
+        root = _LOCAL[key] = _LOCAL.get(key) or tempfile.mkdtemp(prefix="nocturne-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
