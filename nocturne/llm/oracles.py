@@ -23,12 +23,12 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
 
 LEAKS = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-q AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
-qs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM q WHERE len(ws) > 0)),
-sizes AS (SELECT item_id, count(*) AS n_shingles FROM qs GROUP BY item_id)
-SELECT doc_id, item_id, n_shingles, count(*) AS n_shared
-FROM qs JOIN ds USING (s) JOIN sizes USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * n_shingles"""
+q AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ks AS (SELECT DISTINCT least(5, len(ws)) AS k FROM q WHERE len(ws) > 0),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d JOIN ks ON len(ws) >= k)),
+qs AS (SELECT DISTINCT item, k, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT item, least(5, len(ws)) AS k, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM q WHERE len(ws) > 0)),
+sizes AS (SELECT item, count(*) AS n_shingles FROM qs GROUP BY item)
+SELECT doc_id, item_id, n_shingles, n_shared FROM (SELECT doc_id, item, n_shingles, count(*) AS n_shared FROM qs JOIN ds USING (s, k) JOIN sizes USING (item) GROUP BY ALL HAVING count(*) >= 0.8 * n_shingles) JOIN q USING (item)"""
 
 RECORDS = """
 SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,

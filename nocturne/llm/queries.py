@@ -50,7 +50,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     records = warc.parse(warc.read_records(spark, path))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    verified = F.when(F.col("whole"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record of the archive is damaged")))
+    return records.select("page_id", "payload_bytes", verified.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

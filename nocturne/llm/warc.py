@@ -88,8 +88,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def parse(records: DataFrame) -> DataFrame:
     """The fields of each record, with the payload of responses cut out of the record's bytes.
 
-    Returns ``(page_id, url, record_type, refers_to, payload_digest, payload, payload_bytes, whole)``;
-    ``whole`` tells that lengths and digests agree with the bytes.
+    Returns ``(page_id, url, record_type, refers_to, payload_digest, payload, payload_bytes, whole)``. Digest and size of
+    a response are computed from the bytes cut out, those of a revisit from the stored payload; ``whole`` tells
+    that they agree with the header.
     """
     text = F.col("record").cast("string")
     head = F.substring_index(text, _END, 1)
@@ -102,8 +103,10 @@ def parse(records: DataFrame) -> DataFrame:
     cut = cut.withColumn("payload", F.call_function("substring", F.col("block"), http + 1))
     kind = field("WARC-Type")
     digest = F.regexp_extract(field("WARC-Payload-Digest"), "^sha256:([0-9a-f]{64})$", 1)
-    whole = (F.octet_length("block") == F.col("length")) & F.col("verified") & ((kind == "revisit") | (F.sha2("payload", 256) == digest))
+    response = kind == "response"
+    whole = (F.octet_length("block") == F.col("length")) & F.col("verified") & (~response | ((F.sha2("payload", 256) == digest) & (F.octet_length("payload") == F.col("payload_bytes"))))
     return cut.select(
         page("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), kind.alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
-        digest.alias("payload_digest"), F.when(kind == "response", F.col("payload")).alias("payload"), "payload_bytes", whole.alias("whole"),
+        F.when(response, F.sha2("payload", 256)).otherwise(digest).alias("payload_digest"), F.when(response, F.col("payload")).alias("payload"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), whole.alias("whole"),
     )

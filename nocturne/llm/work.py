@@ -57,11 +57,13 @@ def identity(doc_id: str, text: str) -> list[Column]:
     """Columns ``doc`` and ``tie`` that name and order rows.
 
     Rows without an id come last; rows that share an id are ordered by the CRC-32 of
-    their texts; rows equal in both are the same document listed again.
+    their texts, then by 31 bits of another hash; rows equal in all three are the same document listed again. So two different
+    texts are taken for one only if they share an id (or lack it) and 63 bits of hash.
     """
+    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return [
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tie"),
+        (F.shiftleft(F.crc32(said.cast("binary")), 31) + F.xxhash64(said).bitwiseAND(F.lit((1 << 31) - 1))).alias("tie"),
     ]
 
 

@@ -3,13 +3,18 @@ import re
 import pytest
 
 from nocturne.llm import containment
+from nocturne.llm.work import identity
 
 from .conftest import edited, prose
 
 
-def shingles(text):
-    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def words_of(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+
+
+def shingles(text, size=5):
+    words = words_of(text)
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
 def tables(spark, hard):
@@ -23,20 +28,29 @@ def tables(spark, hard):
 def test_pairs_agree_with_brute_force(spark, hard, block):
     docs, items = tables(spark, hard)
     want = []
-    queries = [(r.item_id, shingles(r.text)) for r in items.collect() if r.item_id is not None]
+    queries = [(r.item_id, size, shingles(r.text, size)) for r in items.collect() for size in [min(5, len(words_of(r.text)))] if size]
     for r in docs.collect():
-        own = shingles(r.text)
-        want += [(str(r.doc_id), i, len(q), len(q & own)) for i, q in queries if q and len(q & own) >= 0.8 * len(q) - 1e-9]
-    got = [(str(r.doc_id), r.item_id, r.n_shingles, r.n_shared) for r in containment.contained_items(docs, items, block=block).collect()]
+        own = {size: shingles(r.text, size) for size in range(1, 6)}
+        want += [(str(r.doc_id), str(i), len(q), len(q & own[s])) for i, s, q in queries if len(q & own[s]) >= 0.8 * len(q) - 1e-9]
+    got = [(str(r.doc_id), str(r.item_id), r.n_shingles, r.n_shared) for r in containment.contained_items(docs, items, block=block).collect()]
+    assert any(i == "None" for _, i, *_ in want) and any(n == 1 and i == "22" for _, i, n, _ in want)
     assert sorted(got) == sorted(want) and len(want) > 15
 
 
 def test_contaminated_documents_go_and_others_stay(spark, hard):
     docs, items = tables(spark, hard)
-    leaked = {r.doc_id for r in containment.contained_items(docs, items).collect()}
+    leaked = {(r.doc_id, r.tie) for r in containment.contained_items(docs, items).collect()}
     kept = containment.drop_contaminated(docs, items)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in leaked)
+    named = docs.select("doc_id", identity("doc_id", "text")[1]).collect()
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in named if tuple(r) not in leaked)
+
+
+def test_items_without_id_and_short_items_are_found(spark):
+    docs = spark.createDataFrame([(1, f"{prose(400, 130)} {prose(401, 40)} {prose(402, 130)} Alpha, beta gamma! {prose(403, 20)}")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, prose(401, 40)), (2, prose(401, 40)), (3, "alpha BETA gamma"), (4, "beta alpha"), (5, "gamma")], "item_id long, text string")
+    got = {(r.item_id, r.n_shingles, r.n_shared) for r in containment.contained_items(docs, items).collect()}
+    assert got == {(None, 36, 36), (2, 36, 36), (3, 1, 1), (5, 1, 1)}
 
 
 def test_empty_tables(spark, hard, none):

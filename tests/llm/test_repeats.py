@@ -97,3 +97,20 @@ def test_pieces_hold_each_window_once():
     held = np.concatenate([np.arange(s, s + c) for s, c in zip(starts, counts)])
     assert held.tolist() == np.flatnonzero(left >= 20).tolist()
     assert ((leads >= 0) & (leads <= 14)).all()
+
+
+def test_rows_without_id_whose_checksums_clash_stay_apart(spark):
+    """Two unlike texts of one CRC-32; only the one that is there twice loses its words."""
+    seen, i = {}, 0
+    while True:
+        digits = hashlib.sha512(b"%d" % i).hexdigest()
+        b = " ".join(digits[k : k + 4] for k in range(0, 120, 4))
+        a = seen.setdefault(zlib.crc32(b.encode()), b)
+        if a != b:
+            break
+        i += 1
+    df = spark.createDataFrame([(None, a), (None, b), (1, b)], "doc_id long, text string")
+    words = substring.removal_digests(df).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in words) == [("1", 0), ("None", 0), ("None", 30)]
+    read = suffix.remove_repeated_strings(df).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in read) == [("1", 0), ("None", 0), ("None", len(b))]
