@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -267,24 +269,17 @@ def ema_baseline(df: DataFrame, value: str, out: str, alpha: float = 0.1,
     """Exponential mean over the days of a user, starting at the first value.
 
     One array per user holds one number per calendar day, so its length is
-    bounded by the calendar. The fold is linear in it.
+    bounded by the calendar. Each step uses the one before it alone.
     """
+
+    @F.pandas_udf("array<double>")
+    def folded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: list(accumulate(map(float, v), lambda mean, x: alpha * x + (1 - alpha) * mean)))
+
     days = F.sort_array(F.collect_list(F.struct(order, value)))
-    folded = F.aggregate(
-        "days",
-        F.array().cast("array<double>"),
-        lambda acc, d: F.concat(
-            acc,
-            F.array(
-                F.when(F.size(acc) == 0, d[value].cast("double")).otherwise(
-                    alpha * d[value] + (1 - alpha) * F.element_at(acc, -1)
-                )
-            ),
-        ),
-    )
     grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(days.alias("days"))
     return (
-        grouped.withColumn("ema", folded)
+        grouped.withColumn("ema", folded(F.col(f"days.{value}").cast("array<double>")))
         .select(*keys, F.explode(F.arrays_zip("days", "ema")).alias("z"))
         .select(*keys, F.col(f"z.days.{order}").alias(order),
                 F.col(f"z.days.{value}").alias(value), F.col("z.ema").alias(out))
