@@ -16,7 +16,7 @@ SAMPLE = [
     "a37_behaviour_impact", "a41_roc_auc", "a42_transition_probabilities", "st2_calibrated_rules", "st12_hr_delta", "q1_smooth_isolated",
     "q5_floor_runs", "q7_viterbi", "q13_gate_override", "j3_interval_majority", "j17_match_workouts", "e1_sleep_bounds", "e2_activity_bouts",
     "sp1_lf_hf", "sc3_recovery_engine", "sc18_hydration", "d1_decode_frames", "d3_integrity_audit", "io1_sensor_scan", "io3_day_document_scores",
-    "io15_merge_sources", "m1_features_a", "s1_idempotent_insert", "k4_keep_first_and_last",
+    "io15_merge_sources", "m1_features_a", "s1_idempotent_insert", "s1_insert_ledger", "k4_keep_first_and_last", "d7_stored_fallback", "q12_hierarchical_decode", "m12_gain_sweep",
 ]
 
 
