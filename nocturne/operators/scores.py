@@ -98,7 +98,8 @@ def sleep_score_engine(sleep_hours="sleep_hours", efficiency="efficiency", onset
     hours_part = F.least(F.lit(100.0), hours / need_h * 100)
     eff_part = F.least(F.lit(100.0), eff)
     signed = onset - F.when(onset > 720, 1440).otherwise(0)
-    consistency = F.coalesce(F.greatest(F.lit(30.0), 100.0 - F.abs(signed + 90) * 0.5), F.lit(70.0))
+    # greatest() passes over nulls, so a missing onset is asked for
+    consistency = F.when(onset.isNull(), 70.0).otherwise(F.greatest(F.lit(30.0), 100.0 - F.abs(signed + 90) * 0.5))
     raw = clamp(0.4 * hours_part + 0.3 * eff_part + 0.3 * consistency, 0.0, 100.0)
     return {
         "sleep_score": F.bround(raw, 0), "hours_part": F.bround(hours_part, 1),
