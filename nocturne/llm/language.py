@@ -36,14 +36,17 @@ def samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
     Each language's rows are dealt by hash into ``texts`` classes and the row with the smallest
     hash of each class is taken, so the choice is combined before the shuffle and does not
-    depend on the layout. Only rows with a language and outside the held-out fold are read.
+    depend on the layout. Of a longer text the ``characters`` from a hashed offset are taken, anywhere in
+    it, so a header or licence at the top is not all that is learned. Only rows with a language
+    and outside the held-out fold are read. Rows that are repeated, or share id and text, count once.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
     rows = rows.withColumn("key", F.xxhash64(F.lit(5), "doc_id", "text"))
     least = rows.groupBy("lang", F.pmod("key", F.lit(texts)).alias("class")).agg(F.min("key").alias("key"))
     chosen = [r.key for r in least.select("key").collect()]
-    taken = rows.where(F.col("key").isin(chosen)).select("lang", "key", F.substring("text", 1, characters).alias("text")).distinct() if chosen else rows.limit(0)
+    offset = (F.pmod(F.xxhash64(F.lit(6), "key"), F.greatest(F.length("text") - characters, F.lit(0)) + 1) + 1).cast("int")
+    taken = rows.where(F.col("key").isin(chosen)).select("lang", "key", F.substring(F.col("text"), offset, F.lit(characters)).alias("text")).distinct() if chosen else rows.limit(0)
     out: dict[str, list] = {}
     for r in taken.collect():
         out.setdefault(r.lang, []).append((r.key, r.text.encode()))

@@ -58,3 +58,13 @@ def test_phrases_agree_with_a_plain_cross_parse():
 
 def test_empty_table(none):
     assert language.identify(none).count() == 0
+
+
+def test_a_long_text_is_sampled_anywhere(spark):
+    head, body = "x" * 600, "abcdefghij" * 400
+    rows = spark.createDataFrame([(i, head + body, "en") for i in range(60)], "doc_id long, text string, lang string")
+    taken = language.samples(rows, characters=100)["en"].split(b"\n")
+    assert len(taken) > 10 and all(len(t) == 100 and t.decode() in head + body for t in taken)
+    assert sum(b"a" in t for t in taken) > len(taken) // 2 and len(set(taken)) > 5
+    whole = language.samples(rows.limit(8), characters=10_000)["en"].split(b"\n")
+    assert set(whole) == {(head + body).encode()}
