@@ -123,14 +123,16 @@ def trusted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", rows: in
     return docs.join(F.broadcast(chosen), F.col(doc_id).cast("long") == F.col("trusted_id"), "left_semi")
 
 
-def weights(corpus: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def weights(corpus: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS, copies: bool = False) -> DataFrame:
     """One row ``(weights)``: log p(bucket | target) - log p(bucket | corpus), both smoothed by ``SMOOTHING`` a bucket.
 
-    All texts count, each distinct one once, so a clean document is not held against its own copies.
+    On both sides all texts count: with ``copies`` every row, else each distinct text once.
     Without a target text all weights are zero.
     """
-    both = _counts(corpus.select(F.col(text).cast("string").alias("text")).distinct(), buckets).select("bucket", F.lit(0).cast("long").alias("t"), F.col("n").alias("r")).unionByName(
-        _counts(target.select(F.col(text).cast("string").alias("text")).distinct(), buckets).select("bucket", F.col("n").alias("t"), F.lit(0).cast("long").alias("r"))
+    said = lambda df: df.select(F.col(text).cast("string").alias("text"))
+    counted = lambda df: _counts(said(df) if copies else said(df).distinct(), buckets)
+    both = counted(corpus).select("bucket", F.lit(0).cast("long").alias("t"), F.col("n").alias("r")).unionByName(
+        counted(target).select("bucket", F.col("n").alias("t"), F.lit(0).cast("long").alias("r"))
     ).unionByName(corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("r")))
     counts = table(both.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r")), "grams")
     total = counts.agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
@@ -145,25 +147,26 @@ def _constant(model: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(repr, model.first()["weights"]))), ",").cast("array<double>")
 
 
-def _verdicts(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, threshold: float, buckets: int, trusted_rows: int) -> Column:
-    model = table(weights(docs, trusted(docs, labels, doc_id, trusted_rows), text, buckets), "weights")
+def _verdicts(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, threshold: float, buckets: int, trusted_rows: int, copies: bool) -> Column:
+    model = table(weights(docs, trusted(docs, labels, doc_id, trusted_rows), text, buckets, copies), "weights")
     return verdict(F.col(text), _constant(model), threshold, buckets)
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS,
-          trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+          trusted_rows: int = TRUSTED_ROWS, copies: bool = False) -> DataFrame:
     """``docs`` with the columns of ``verdict``, one row per row; columns of these names are replaced.
 
     A document is kept if it passes the fixed rules and its mean log ratio is ``threshold`` or
-    more. The corpus counts cover all of ``docs``.
+    more. The corpus counts cover every text of ``docs``, with ``copies`` every row. A null text has no words and fails; rows that
+    share an id are judged each by their own text.
     """
     found = fresh(docs, "verdict")
-    judged = docs.withColumn(found, _verdicts(docs, labels, doc_id, text, threshold, buckets, trusted_rows))
+    judged = docs.withColumn(found, _verdicts(docs, labels, doc_id, text, threshold, buckets, trusted_rows, copies))
     names = judged.schema[found].dataType.names
     return judged.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names), *(F.col(found).getField(n).alias(n) for n in names))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS,
-              trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+              trusted_rows: int = TRUSTED_ROWS, copies: bool = False) -> DataFrame:
     """The kept rows of ``docs`` with its own columns, values unchanged."""
-    return docs.where(_verdicts(docs, labels, doc_id, text, threshold, buckets, trusted_rows).getField("kept"))
+    return docs.where(_verdicts(docs, labels, doc_id, text, threshold, buckets, trusted_rows, copies).getField("kept"))

@@ -67,3 +67,17 @@ def test_main_path_runs_no_python(spark, hard):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     plan = quality.judge(hard.select("doc_id", "text"), labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_copy_counts_if_asked(hard):
+    corpus = hard.select("doc_id", "text").union(hard.where("doc_id = 1").select("doc_id", "text"))
+    target = corpus.where("doc_id in (1, 2)")
+    rows, chosen, size = corpus.collect(), target.collect(), 64
+    raw, good = Counter(), Counter()
+    for counter, found in ((raw, rows), (good, chosen)):
+        for r in found:
+            counter.update(buckets(WORD.findall(r.text or ""), size))
+    want = [math.log((good[b] + 10) / (good.total() + 10 * size)) - math.log((raw[b] + 10) / (raw.total() + 10 * size)) for b in range(size)]
+    got = quality.weights(corpus, target, buckets=size, copies=True).first().weights
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-9
+    assert got != quality.weights(corpus, target, buckets=size).first().weights
