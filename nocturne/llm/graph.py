@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import table
+from .work import discard, table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,13 +24,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``; the root is the component's smallest node.
 
-    Each round writes its edges to the shared folder. Hubs are aggregated before the
+    Each round writes its edges to the shared folder and deletes those before. Hubs are aggregated before the
     shuffle and their rows joined, never gathered.
     """
     edges = table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        edges = table(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, table(_small_star(_large_star(edges)), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

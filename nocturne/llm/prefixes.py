@@ -6,7 +6,9 @@ wherever the texts differ. The order puts shingles that are common in a sample l
 the groups at a shingle small; any order gives the same pairs.
 
 The sets at a shingle meet their smallest one first. Pairs that are connected by then need no
-comparison, as only components are asked for; all others are compared.
+comparison, as only components are asked for. All others are compared: first by parity bits of
+about one per shingle, whose difference is never more than that of the sets, so no similar pair
+fails; then, for those left, shingle by shingle from the texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .work import arrow_schema, batch, table, texts
+from .work import arrow_schema, batch, discard, ints, table, texts
 
 SAMPLE = 10_000
 COMMON = 200_000
@@ -48,27 +50,28 @@ def _grams(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(f, 7) for f in found), np.uint64, len(found)))
 
 
-def _sets(df: DataFrame, words: int) -> DataFrame:
-    schema = arrow_schema(doc_id=pa.int64(), grams=pa.list_(pa.int64()))
-
-    def run(batches):
-        for b in batches:
-            yield batch(schema, b.column(0), [_grams(t, words).view(np.int64) for t in texts(b.column(1))])
-
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
-
-
-def shingle_sets(df: DataFrame, words: int = 5) -> DataFrame:
-    """``(doc_id, grams)``: hashes of the distinct shingles, a row for each id and set."""
-    return _sets(df, words).distinct()
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Bits, a power of two of them and at least one a shingle, each set if its place was hit an odd number of times."""
+    n = 64
+    while n < len(grams):
+        n *= 2
+    hits = np.bincount((grams & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _common(df: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in several documents of a sample and in how many; they only set the order."""
+    schema = arrow_schema(gram=pa.int64())
+
+    def run(batches):
+        for b in batches:
+            for t in texts(b.column(0)):
+                yield batch(schema, _grams(t, words).view(np.int64))
+
     n = df.count()
     if n > SAMPLE:
         df = df.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 30)) < (SAMPLE << 30) // n)
-    counted = _sets(df, words).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
+    counted = df.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
     found = counted.orderBy(F.desc("n"), "gram").limit(COMMON).collect()
     grams, counts = np.array([r.gram for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
     order = np.argsort(grams)
@@ -76,18 +79,19 @@ def _common(df: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(df: DataFrame, words: int, least: float) -> DataFrame:
-    """``(doc_id, high, low, size, grams)``: 128 bits that name the set, its size and its prefix in order."""
-    schema = arrow_schema(doc_id=pa.int64(), high=pa.int64(), low=pa.int64(), size=pa.int32(), grams=pa.list_(pa.int64()))
+    """``(doc_id, high, low, size, bits, grams)``: 128 bits that name the set, its size, its parity bits and its prefix in order."""
+    schema = arrow_schema(doc_id=pa.int64(), high=pa.int64(), low=pa.int64(), size=pa.int32(), bits=pa.list_(pa.int64()), grams=pa.list_(pa.int64()))
     common = df.sparkSession.sparkContext.broadcast(_common(df, words))
 
     def run(batches):
         known, counts = common.value
         for b in batches:
-            names, sizes, firsts = [], [], []
+            names, sizes, bits, firsts = [], [], [], []
             for t in texts(b.column(1)):
                 grams = _grams(t, words)
                 names.append(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64))
                 sizes.append(len(grams))
+                bits.append(parity(grams))
                 count = np.zeros(len(grams), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -95,9 +99,9 @@ def prefixes(df: DataFrame, words: int, least: float) -> DataFrame:
                 n = len(grams) - math.ceil(least * len(grams) - SLACK) + 1
                 firsts.append(grams[np.lexsort((grams, count))[:n]].view(np.int64))
             if names:
-                yield batch(schema, b.column(0), *np.stack(names, 1), np.array(sizes, np.int32), firsts)
+                yield batch(schema, b.column(0), *np.stack(names, 1), np.array(sizes, np.int32), bits, firsts)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, high long, low long, size int, grams array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, high long, low long, size int, bits array<long>, grams array<long>")
 
 
 def _may(a: tuple[Column, Column], b: tuple[Column, Column], least: float) -> Column:
@@ -106,14 +110,71 @@ def _may(a: tuple[Column, Column], b: tuple[Column, Column], least: float) -> Co
     return shared * (1 + least) >= least * (a[0] + b[0]) - SLACK
 
 
+def _folded(bits: str, words: Column, at: Column) -> Column:
+    """Word ``at`` of the parity bits brought down to ``words`` words."""
+    every = F.sequence(at, F.size(bits) - 1, words)
+    return F.aggregate(every, F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(bits, i)))
+
+
+def _close(edges: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """The ``edges`` that sizes and parity bits don't rule out.
+
+    Sets of similarity ``least`` differ in at most ``(1 - least) / (1 + least)`` of their sizes' sum,
+    and each differing shingle turns one bit.
+    """
+    known = heads.select("node", "size", "bits")
+    both = edges.join(known.withColumnsRenamed({"node": "u", "size": "m", "bits": "x"}), "u").join(known.withColumnsRenamed({"node": "v", "size": "n", "bits": "y"}), "v")
+    near = both.where(F.least("m", "n") >= least * F.greatest("m", "n") - SLACK)
+    words = F.least(F.size("x"), F.size("y"))
+    turned = F.aggregate(
+        F.sequence(F.lit(0), words - 1), F.lit(0),
+        lambda s, at: s + F.bit_count(_folded("x", words, at).bitwiseXOR(_folded("y", words, at))),
+    )
+    return near.where(turned * (1 + least) <= (1 - least) * (F.col("m") + F.col("n")) + SLACK).select("u", "v")
+
+
 def _alike(df: DataFrame, edges: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``edges`` whose sets are similar, written."""
-    edges = table(edges.distinct(), "candidate-links")
-    wanted = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = table(shingle_sets(df.join(wanted, "doc_id", "left_semi"), words), "shingles")
-    both = edges.join(sets.withColumnsRenamed({"doc_id": "u", "grams": "x"}), "u").join(sets.withColumnsRenamed({"doc_id": "v", "grams": "y"}), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    return table(both.where(shared >= least * (F.size("x") + F.size("y") - shared) - SLACK).select("u", "v"), "links")
+    """The ``edges`` whose texts have similar shingle sets, written. Texts are shipped, as they take less room than their shingles."""
+    schema = arrow_schema(u=pa.int64(), v=pa.int64())
+
+    def run(batches):
+        said, other = None, None
+        for b in batches:
+            us, vs, keep = ints(b.column(0)), ints(b.column(1)), []
+            for i, (s, t) in enumerate(zip(texts(b.column(2)), texts(b.column(3)))):
+                if t != said:
+                    said, other = t, _grams(t, words)
+                mine = _grams(s, words)
+                shared = len(mine) + len(other) - len(np.union1d(mine, other))
+                if shared >= least * (len(mine) + len(other) - shared) - SLACK:
+                    keep.append(i)
+            yield batch(schema, us[keep], vs[keep])
+
+    said = df.select("doc_id", "text")
+    both = edges.join(said.toDF("u", "x"), "u").join(said.toDF("v", "y"), "v")
+    return table(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long").distinct(), "links")
+
+
+def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``edges`` whose ends are not connected by ``roots(node, root)``."""
+    named = edges.join(roots.toDF("u", "a"), "u", "left").join(roots.toDF("v", "b"), "v", "left")
+    return named.where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v")
+
+
+def _connected(df: DataFrame, heads: DataFrame, edges: DataFrame, links: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """``links`` with the similar ones of ``edges``, and ``(node, root)`` of their components.
+
+    Each set is compared with its smallest candidate first; candidates connected then need no comparison.
+    """
+    edges = table(_close(edges.distinct(), heads, least), "candidate-links")
+    links = links.unionByName(_alike(df, edges.groupBy("u").agg(F.min("v").alias("v")), words, least))
+    roots = components(links)
+    others = table(_apart(edges.join(edges.groupBy("u").agg(F.min("v").alias("least")), "u").where("v > least").drop("least"), roots), "other-links")
+    if not others.isEmpty():
+        links = links.unionByName(_alike(df, others, words, least))
+        roots = components(links)
+    discard(edges, others)
+    return links, roots
 
 
 def similar_links(df: DataFrame, words: int = 5, least: float = 0.8, crowd: int = 64) -> DataFrame:
@@ -126,28 +187,30 @@ def similar_links(df: DataFrame, words: int = 5, least: float = 0.8, crowd: int
     number of rounds changes the work and not the result.
     """
     found = table(prefixes(df, words, least), "prefixes")
-    by_set = found.groupBy("high", "low").agg(F.min(F.struct("doc_id", "size", "grams")).alias("head"), F.count("*").alias("n"))
-    heads = by_set.select("high", "low", "n", "head.*").withColumnRenamed("doc_id", "node")
+    alike = [F.count("*").alias("n"), F.min("doc_id").alias("node"), *(F.any_value(c).alias(c) for c in ("size", "bits", "grams"))]
+    heads = table(found.groupBy("high", "low").agg(*alike), "sets")
     same = found.select("doc_id", "high", "low").join(heads.where("n > 1").select("high", "low", "node"), ["high", "low"])
-    links = table(same.where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct(), "equal-sets")
-    at = Window.partitionBy("gram")
+    same = table(same.where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct(), "equal-sets")
+    discard(found)
     left = heads.select("node", "size", F.posexplode("grams").alias("pos", "gram"), F.col("node").alias("root"))
+    links, before = same.limit(0), ()
     for last in [False] * ROUNDS + [True]:
-        first = F.min(F.struct("node", "size", "pos", "root")).over(at).alias("first")
-        ends = [F.min("root").over(at).alias("a"), F.max("root").over(at).alias("b"), F.count("*").over(at).alias("n")]
-        left = table(left.select("*", first, *ends).where("a < b").drop("a", "b"), "shared-shingles")
+        # a shingle is counted with map-side aggregates, and only those of unconnected sets come back by a join, whose hot keys Spark can split
+        ends = [F.min("node").alias("first"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")]
+        counted = left.groupBy("gram").agg(*ends).where("a < b").select("gram", "first", "n")
+        left = table(left.join(counted, "gram"), "shared-shingles")
+        discard(*before)
+        before = (left,)
         most = left.agg(F.max("n")).first()[0] or 0
         if not most:
             break
         if last or most <= crowd:
-            links = links.unionByName(_alike(df, _unconnected(left, least), words, least))
+            links, _ = _connected(df, heads, _unconnected(left, least), links, words, least)
             break
-        met = left.where((F.col("root") != F.col("first.root")) & _may((F.col("size"), F.col("pos")), (F.col("first.size"), F.col("first.pos")), least))
-        links = links.unionByName(_alike(df, met.select(F.col("node").alias("u"), F.col("first.node").alias("v")), words, least))
-        roots = components(links).withColumnRenamed("root", "now")
-        others = left.where(F.struct("node", "size", "pos", "root") != F.col("first")).drop("first", "n", "root")
-        left = others.join(roots, "node", "left").withColumn("root", F.coalesce("now", "node")).drop("now")
-    return links
+        links, roots = _connected(df, heads, left.where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v")), links, words, least)
+        left = left.where("node != first").drop("first", "n", "root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    discard(heads, *before)
+    return same.unionByName(links)
 
 
 def _unconnected(left: DataFrame, least: float) -> DataFrame:

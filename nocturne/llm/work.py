@@ -45,6 +45,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``table`` has written, once a later table holds all that is needed of it."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
