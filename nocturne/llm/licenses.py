@@ -3,16 +3,18 @@
 The hashes of all rolling word k-grams of the documents are joined with the positions of the
 templates' k-grams. Hits of one document and template vote for a diagonal, the word at which the
 template would begin; neighbouring diagonals are merged, so a word put in or left out
-does not split a span. The words of each span are then aligned with the template.
+does not split a span. Merged diagonals with too few votes for a span cannot hold one; the others are
+aligned with the template word by word.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Rolling
@@ -20,7 +22,6 @@ from .substring import _Hashes, word_hashes
 from .work import arrow_schema, batch, identity, ints, table, texts
 
 GRAM = 3
-SLACK = 3
 LEAST = 0.9
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEGMENT = 1 << 17
@@ -87,37 +88,61 @@ def rolling_grams(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     return docs.mapInArrow(run, "doc long, tie long, at int, hash long")
 
 
-def template_positions(spark, templates=TEMPLATES, gram: int = GRAM) -> DataFrame:
-    """``(template, position, hash)``, a table as large as the templates."""
-    known = _Hashes()
-    rows = [
-        (t, p, int(h)) for t, (_, text) in enumerate(templates)
-        for p, h in enumerate(_gram_hashes(words_of(text.encode()), gram, known).view(np.int64))
-    ]
-    return spark.createDataFrame(rows, "template int, position int, hash long")
+def drift(n: int, least: float = LEAST) -> int:
+    """By how many diagonals a span of ``n`` template words may wander: words left out and put in at a share of ``least``."""
+    return max(1, math.floor(n * (1 - least)) + math.floor(n * (1 / least - 1)))
 
 
-def voted_spans(docs: DataFrame, templates=TEMPLATES, gram: int = GRAM, slack: int = SLACK) -> DataFrame:
-    """``(doc, tie, template, low, high, votes)``: merged diagonals from ``low`` to ``high``.
+def least_votes(n: int, gram: int = GRAM, least: float = LEAST) -> int:
+    """Fewest k-grams of ``n`` template words in a span: a word left out ends ``gram`` of them, one put in ``gram`` - 1."""
+    lost = gram * math.floor(n * (1 - least)) + (gram - 1) * math.floor(n * (1 / least - 1))
+    return max(1, n - gram + 1 - lost)
 
-    Diagonals are merged where they lie ``slack`` or fewer words apart.
+
+def template_positions(spark, templates=TEMPLATES, gram: int = GRAM, least: float = LEAST) -> DataFrame:
+    """``(template, position, hash, drift, need)``, a table as large as the templates."""
+    known, rows = _Hashes(), []
+    for t, (label, text) in enumerate(templates):
+        words = words_of(text.encode())
+        if len(words) < gram:
+            raise ValueError(f"a template of {label} has fewer than {gram} words")
+        limits = drift(len(words), least), least_votes(len(words), gram, least)
+        rows += [(t, p, int(h), *limits) for p, h in enumerate(_gram_hashes(words, gram, known).view(np.int64))]
+    return spark.createDataFrame(rows, "template int, position int, hash long, drift int, need int")
+
+
+def voted_spans(docs: DataFrame, templates=TEMPLATES, gram: int = GRAM, least: float = LEAST) -> DataFrame:
+    """``(doc, tie, template, low, high, votes)``: merged diagonals from ``low`` to ``high`` with enough votes.
+
+    Diagonals are merged in overlapping bands twice as wide as a span may wander, so each span lies
+    within a band, and no band grows with its text.
+    """
+    hits = rolling_grams(docs, gram).join(F.broadcast(template_positions(docs.sparkSession, templates, gram, least)), "hash")
+    limits = ["doc", "tie", "template", "drift", "need"]
+    diagonals = hits.groupBy(*limits, (F.col("at") - F.col("position")).alias("diagonal")).agg(F.count_distinct("position").alias("votes"))
+    band = F.floor(F.col("diagonal") / F.col("drift"))
+    banded = diagonals.withColumn("band", F.explode(F.array(band, band - 1)))
+    merged = banded.groupBy(*limits, "band").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
+    return merged.where("votes >= need").select("doc", "tie", "template", "low", "high", "votes").distinct()
+
+
+def aligned(words: list[bytes], template: list[bytes]) -> tuple[float, int, int]:
+    """``(share, first, end)`` of the stretch of ``words`` most like the template.
+
+    That is the one with the fewest words left out and put in; of several the longest, then the
+    earliest. ``share`` is the number of common words over the longer of stretch and template.
     """
-    hits = rolling_grams(docs, gram).join(F.broadcast(template_positions(docs.sparkSession, templates, gram)), "hash")
-    diagonals = hits.groupBy("doc", "tie", "template", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.count_distinct("position").alias("votes"))
-    along = Window.partitionBy("doc", "tie", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(along) > slack
-    runs = diagonals.withColumn("opens", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("opens").over(along))
-    return runs.groupBy("doc", "tie", "template", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes")).drop("run")
-
-
-def aligned(span: list[bytes], template: list[bytes]) -> int:
-    """Most words of the template found in the span in order."""
-    row = [0] * (len(template) + 1)
-    for word in span:
-        before = 0
+    n, wide = len(template), len(words) + 1
+    row, best = [j * wide for j in range(n + 1)], (n, 0, 0)  # cost * wide + first word
+    for i, word in enumerate(words, 1):
+        before, row[0] = row[0], i
         for j, other in enumerate(template, 1):
-            before, row[j] = row[j], (before + 1 if word == other else max(row[j], row[j - 1]))
-    return row[-1]
+            at = before if word == other else min(row[j], row[j - 1]) + wide
+            before, row[j] = row[j], at
+        cost, first = divmod(row[n], wide)
+        best = min(best, (cost, first - i, i))
+    cost, minus, end = best
+    return (n - minus - cost) // 2 / max(n, -minus), end + minus, end
 
 
 def _places(words: list[bytes], phrases: list[tuple[bytes, str]]):
@@ -129,13 +154,14 @@ def _places(words: list[bytes], phrases: list[tuple[bytes, str]]):
             at = line.find(phrase, at + 1)
 
 
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, gram: int = GRAM, slack: int = SLACK, least: float = LEAST) -> DataFrame:
+def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, gram: int = GRAM, least: float = LEAST) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)``.
 
-    One row per row of ``df``. A span holds its label, first word, end and the share of the
-    template's words found in order; spans of ``least`` or more add their labels. ``score`` is the
+    One row per row of ``df``. A span holds its label, first word, end and share: words in common with the
+    template, in order, over the longer of the two (``aligned``). Spans of ``least`` or more add their labels;
+    a span is listed once, spans by first word, label and end. ``score`` is the
     best share; a base phrase counts as 1, no span as 0. Null and empty texts have no words.
-    Rows with one id and text are scanned as one and listed each.
+    Rows with one id and text are scanned as one and listed each. A template of fewer than ``gram`` words is an error.
     """
     wording = [(label, words_of(t.encode())) for label, t in templates]
     phrases = [(b" " + p.encode() + b" ", label) for p, label in BASE.items()]
@@ -151,13 +177,16 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TE
             for i, t, found in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
                 words = words_of(t)
                 places = list(_places(words, phrases))
-                spans = []
+                shares = {}
                 for s in found or ():
                     label, template = wording[s["template"]]
-                    low, end = max(0, s["low"]), min(len(words), s["high"] + len(template))
-                    share = aligned(words[low:end], template) / len(template)
+                    margin = drift(len(template), least)
+                    low = max(0, s["low"] - margin)
+                    share, first, end = aligned(words[low : max(0, s["high"] + len(template) + margin)], template)
                     if share >= least:
-                        spans.append({"label": label, "first": low, "end": end, "share": share})
+                        place = label, low + first, low + end
+                        shares[place] = max(share, shares.get(place, 0.0))
+                spans = [{"label": label, "first": first, "end": end, "share": share} for (label, first, end), share in shares.items()]
                 base = {label for _, label in places}
                 score = max([1.0 if places else 0.0, *(s["share"] for s in spans)])
                 spans.sort(key=lambda s: (s["first"], s["label"], s["end"]))
@@ -170,7 +199,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TE
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = rows.select("doc_id", "text", *identity("doc_id", "text"))
-    voted = voted_spans(keyed.select("doc", "tie", "text"), templates, gram, slack)
+    voted = voted_spans(keyed.select("doc", "tie", "text"), templates, gram, least)
     by_doc = table(voted.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("template", "low", "high"))).alias("found")), "spans")
     return keyed.join(by_doc, ["doc", "tie"], "left").select("doc_id", "text", "found").mapInArrow(
         run,
