@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from nocturne.llm import simhash
+from nocturne.llm import prefixes, simhash
 
 from .conftest import edited, prose
 from .test_simhash import classes, jaccard
@@ -41,3 +42,18 @@ def test_near_copies_meet_although_their_first_document_is_unlike_both(spark):
     swapped = words[:100] + [words[101], words[100]] + words[102:]
     texts = {1: " ".join(sorted(words)), 2: " ".join(words), 3: " ".join(swapped)}
     assert brute(texts) == {3: 2} and leaders(spark, texts) == {3: 2}
+
+
+@pytest.mark.parametrize("least", [0.8, 0.4])
+def test_parity_bits_rule_out_no_similar_pair(spark, least):
+    r = np.random.default_rng(3)
+    sets = []
+    for n in (1, 3, 60, 64, 70, 300):
+        base = r.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [np.unique(np.concatenate((base[: n - out], r.integers(0, 1 << 63, more).astype(np.uint64)))) for out in (0, n // 9, n // 3) for more in (0, n // 9, n // 2)]
+    rows = [(i, len(s), prefixes.parity(s).tolist()) for i, s in enumerate(sets)]
+    heads = spark.createDataFrame(rows, "node long, size int, bits array<long>")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    got = {tuple(x) for x in prefixes._close(spark.createDataFrame(pairs, "u long, v long"), heads, least).collect()}
+    similar = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= least * len(np.union1d(sets[i], sets[j]))}
+    assert similar <= got and len(got) < len(pairs) / 2
