@@ -175,12 +175,27 @@ def stage_timeline(df: DataFrame) -> DataFrame:
 
 
 def expand_minutes(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per minute of each interval; the interval that ends last wins a minute."""
-    spread = intervals.select(
-        *keys, "stage", "end_ts",
-        F.explode(F.sequence(F.floor(F.col("start_ts") / 60), F.floor(F.col("end_ts") / 60))).alias("minute"),
+    """One row per minute of each interval; the interval that ends last wins a minute.
+
+    Only the intervals are shuffled: those of a key meet in one row (bounded by the day), the last end first, and
+    each keeps the minutes that no interval before it covers. All before it end no earlier, so what they leave ends where
+    the first of them starts; only an interval given backwards is looked up minute by minute.
+    """
+    lo, hi = F.floor(F.col("start_ts") / 60), F.floor(F.col("end_ts") / 60)
+    spans = intervals.select(
+        *keys, F.struct("end_ts", (-F.col("start_ts")).alias("first"), lo.alias("from"), hi.alias("to"), "stage").alias("_i")
+    ).where("_i.from is not null and _i.to is not null")
+    ranked = spans.groupBy(*keys).agg(F.sort_array(F.collect_list("_i"), False).alias("_all"))
+    each = ranked.select("*", F.posexplode("_all").alias("_at", "_i"))
+    before = F.slice("_all", 1, F.col("_at"))
+    starts = F.array_min(F.transform(before, lambda x: F.least(x["from"], x["to"])))
+    end = F.least(F.col("_i.to"), F.coalesce(starts - 1, F.col("_i.to")))
+    left = F.when(F.col("_i.from") <= end, F.sequence(F.col("_i.from"), F.greatest(end, F.col("_i.from"))))
+    covers = lambda x, m: m.between(F.least(x["from"], x["to"]), F.greatest(x["from"], x["to"]))
+    back = F.filter(F.sequence(F.col("_i.to"), F.col("_i.from")), lambda m: ~F.exists(before, lambda x: covers(x, m)))
+    return each.select(
+        *keys, F.explode(F.when(F.col("_i.from") <= F.col("_i.to"), left).otherwise(back)).alias("minute"), F.col("_i.stage").alias("stage")
     )
-    return spread.groupBy(*keys, "minute").agg(F.max_by("stage", "end_ts").alias("stage"))
 
 
 def scrubber_labels(df: DataFrame) -> DataFrame:
