@@ -20,14 +20,17 @@ def written(build):
     def source(spark, sf):
         key = (spark.sparkContext.applicationId, sf, build.__name__)
         if key not in _WRITTEN:
-            # rows grow when they become documents, so spread them over all cores first
-            spread = build(spark, sf).repartition(spark.sparkContext.defaultParallelism)
-            _WRITTEN[key] = cut_lineage(spread, build.__name__)
+            _WRITTEN[key] = cut_lineage(build(spark, sf), build.__name__)
         return _WRITTEN[key]
 
     return source
 
 
+def spread(rows):
+    """Table rows over all cores, before they grow to documents: the documents themselves are never shuffled or sorted."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def le(c, n):
     return F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)])
 
@@ -91,7 +94,7 @@ def records(spark, sf):
 @written
 def packet_log(spark, sf):
     """A command log from orders: one request and two responses per order."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    o = spread(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey"))
     codes = F.array(*[F.lit(c) for c in (0x0E, 0x13, 0x16, 0x17, 0x22, 0x42, 0x8D, 0x91, 0x55)])
     code = F.element_at(codes, (F.col("o_orderkey") % 9 + 1).cast("int"))
     rows = o.select(
@@ -131,7 +134,7 @@ def iso(ts):
 @written
 def day_documents(spark, sf):
     """A day document per row of ``daily_scores``."""
-    d = daily_scores(spark, sf)
+    d = spread(daily_scores(spark, sf))
     metric = lambda i, t, s: _struct(id=F.lit(i), title=F.lit(t), status=s)
     gauge = lambda i, v: _struct(type=F.lit("SCORE_GAUGE"), content=_struct(
         id=F.lit(i), score_display=_text(v), gauge_fill_percentage=v / 100, metrics=F.lit(None).cast("array<struct<id string, title string, status string>>")))
