@@ -1,8 +1,8 @@
 """Decoders over class probabilities, many nights at a time.
 
-The nights of an Arrow batch are padded to one (nights, windows, classes) array. Recurrences
+Nights of an Arrow batch are taken in blocks and padded to one (nights, windows, classes) array. Recurrences
 step once per window for all nights together; runs are handled as run-length arrays.
-Bounded by the windows of a night.
+Bounded by the windows of a night and ``BLOCK``, however many nights a batch has.
 
 Transitions, starts and position priors are fixed arrays or the name of a column that holds the
 flattened array of the window's night, such as parameters learned without its fold.
@@ -27,16 +27,20 @@ FLOORS = {DEEP: 4, REM: 3}
 # The range of awake gains, the largest awake share and the tolerance of the quota search.
 GAINS, LARGEST_SHARE, CLOSE = (0.3, 40.0), 0.6, 0.01
 QUOTA_STEPS, LIGHT_GAIN = 14, 0.8
+# Padded windows of the nights decoded together.
+BLOCK = 100_000
 
 
 Table = np.ndarray | str
 
 
 class Nights:
-    """Padded nights: ``p`` (nights, windows, classes), ``x`` further columns, ``used`` marks real windows."""
+    """Padded nights: ``p`` (nights, windows, classes), ``x`` further columns, ``used`` marks real windows.
 
-    def __init__(self, probabilities: pd.Series, columns: pd.Series, tables: dict[str, pd.Series] | None = None):
-        sizes = np.array([len(p) for p in probabilities], int)
+    ``probabilities`` and ``columns`` have a flat array per night, its windows one after the other.
+    """
+
+    def __init__(self, sizes: np.ndarray, probabilities: pd.Series, columns: pd.Series, tables: dict[str, pd.Series] | None = None):
         self.used = np.arange(sizes.max(initial=0)) < sizes[:, None]
         self.p, self.x = (self._filled(s) for s in (probabilities, columns))
         self.tables = {name: np.array([np.asarray(r, float) for r in t]).reshape(len(sizes), -1) for name, t in (tables or {}).items()}
@@ -46,14 +50,25 @@ class Nights:
         return self.tables[value].reshape(len(self.used), *shape) if isinstance(value, str) else np.asarray(value)
 
     def _filled(self, lists: pd.Series) -> np.ndarray:
-        rows = [np.stack([np.asarray(r, float) for r in night]) for night in lists if len(night)]
-        flat = np.concatenate(rows) if rows else np.zeros((0, 1))
+        n = int(self.used.sum())
+        flat = np.concatenate([np.asarray(night, float) for night in lists]).reshape(n, -1) if n else np.zeros((0, 1))
         out = np.zeros((*self.used.shape, flat.shape[1]))
         out[self.used] = flat
         return out
 
-    def lists(self, values: np.ndarray) -> pd.Series:
-        return pd.Series([v[u].tolist() for v, u in zip(values, self.used)])
+    def lists(self, values: np.ndarray) -> list:
+        return [v[u].tolist() for v, u in zip(values, self.used)]
+
+
+def blocks(sizes: np.ndarray, most: int) -> list[slice]:
+    """Runs of neighbouring nights that have at most ``most`` windows together when padded; a longer night stands alone."""
+    out, start, longest = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and max(longest, n) * (i + 1 - start) > most:
+            out.append(slice(start, i))
+            start, longest = i, 0
+        longest = max(longest, n)
+    return out + [slice(start, len(sizes))] if len(sizes) else out
 
 
 def named(*tables: Table) -> list[str]:
@@ -124,16 +139,19 @@ def decoded(df: DataFrame, decode: Callable[[Nights], np.ndarray], columns: list
     tables = tables or []
 
     @F.pandas_udf(T.ArrayType(kind or T.IntegerType()))
-    def run(probabilities: pd.Series, further: pd.Series, *more: pd.Series) -> pd.Series:
-        nights = Nights(probabilities, further, dict(zip(tables, more)))
-        return nights.lists(decode(nights))
+    def run(count: pd.Series, probabilities: pd.Series, further: pd.Series, *more: pd.Series) -> pd.Series:
+        sizes, out = count.to_numpy(int), []
+        for b in blocks(sizes, BLOCK):
+            nights = Nights(sizes[b], probabilities.iloc[b], further.iloc[b], {t: m.iloc[b] for t, m in zip(tables, more)})
+            out += nights.lists(decode(nights))
+        return pd.Series(out, dtype=object)
 
     window = F.struct(
         "win", F.array(*[F.col(f"p{i}").cast("double") for i in range(k)]).alias("p"),
         F.array(*[F.col(c).cast("double") for c in (columns or ["win"])]).alias("x"),
     )
     nights = df.groupBy(*keys).agg(F.sort_array(F.collect_list(window)).alias("_w"), *[F.first(t).alias(t) for t in tables])
-    values = nights.select(*keys, F.arrays_zip(F.col("_w.win").alias("win"), run(F.col("_w.p"), F.col("_w.x"), *tables).alias(out)).alias("_v"))
+    values = nights.select(*keys, F.arrays_zip(F.col("_w.win").alias("win"), run(F.size("_w"), F.flatten("_w.p"), F.flatten("_w.x"), *tables).alias(out)).alias("_v"))
     return values.select(*keys, F.explode("_v").alias("_v")).select(*keys, F.col("_v")["win"].alias("win"), F.col("_v")[out].alias(out))
 
 

@@ -154,3 +154,28 @@ def test_ectopic_beats_repeat_the_last_kept(night_frame):
     for v in rr[1:]:
         kept.append(v if abs(v - kept[-1]) / kept[-1] < 0.2 else kept[-1])
     assert got == kept
+
+
+def test_blocks_of_nights_hold_a_bounded_number_of_windows():
+    sizes = np.array([3, 40, 0, 7, 7, 7, 900, 1])
+    cut = decoding.blocks(sizes, 50)
+    assert [i for b in cut for i in range(b.start, b.stop)] == list(range(8))
+    assert all(sizes[b].max() * len(sizes[b]) <= 50 or len(sizes[b]) == 1 for b in cut) and decoding.blocks(sizes[:0], 50) == []
+
+
+def test_a_batch_of_many_nights_is_decoded_in_blocks_with_the_same_states(spark, monkeypatch):
+    df, _ = frame(spark, 40, 12)
+    df = df.coalesce(1)
+    prior, lt, li = 0.5 + RNG.random((10, 4)), np.log(TRANS), np.log(INIT)
+    seen = spark.sparkContext.accumulator(0)
+    whole = sorted(map(tuple, decoding.quota_decode(df, prior, lt, li).collect()))
+    monkeypatch.setattr(decoding, "BLOCK", 60)
+    posterior = decoding.gated_posterior
+
+    def counted(n, *args):
+        assert n.used.size <= 60
+        seen.add(1)
+        return posterior(n, *args)
+
+    monkeypatch.setattr(decoding, "gated_posterior", counted)
+    assert sorted(map(tuple, decoding.quota_decode(df, prior, lt, li).collect())) == whole and len(whole) == 480
