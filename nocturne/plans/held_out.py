@@ -218,7 +218,8 @@ def gain_scores(df: DataFrame, accuracy_weight: float = 0.03, label: str = "labe
     """``(candidate, score)`` of rows that carry gains ``g0`` to ``g3`` and the number of their candidate."""
     keys = [*NIGHT, "candidate"]
     states = decoding.gain_decode(df, [f"g{k}" for k in CLASSES], "prior", "all_trans", "all_start", keys=keys)
-    hits = states.join(df.select(*keys, "win", label), [*keys, "win"])
+    # swept rows look small to the planner, as packed columns hide them, and a broadcast would take them through the driver
+    hits = states.join(df.select(*keys, "win", label).hint("merge"), [*keys, "win"])
     right = F.col("state") == F.col(label)
     counts = [F.count(F.when(F.col(label) == k, 1)).alias(f"n{k}") for k in CLASSES] + [F.count(F.when(right & (F.col(label) == k), 1)).alias(f"h{k}") for k in CLASSES]
     recall = [F.when(F.col(f"n{k}") > 0, F.col(f"h{k}") / F.col(f"n{k}")).otherwise(0.0) for k in CLASSES]

@@ -179,3 +179,25 @@ def test_a_batch_of_many_nights_is_decoded_in_blocks_with_the_same_states(spark,
 
     monkeypatch.setattr(decoding, "gated_posterior", counted)
     assert sorted(map(tuple, decoding.quota_decode(df, prior, lt, li).collect())) == whole and len(whole) == 480
+
+
+def test_the_gain_search_takes_no_windows_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from nocturne.operators import joins
+    from nocturne.plans import held_out
+
+    df, rows = frame(spark, 3, 8)
+    array = lambda values: F.array(*[F.lit(float(v)) for v in np.ravel(values)])
+    df = df.withColumns({"label": F.col("win") % 4, "prior": array(np.ones((10, 4))), "all_trans": array(np.log(TRANS)), "all_start": array(np.log(INIT))})
+    tried = [{"g0": g, "g1": 1.0, "g2": 1.0, "g3": 1.0, "candidate": float(i)} for i, g in enumerate((1, 3))]
+    scores = held_out.gain_scores(joins.sweep(df, tried))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = {r.candidate: r.score for r in scores.collect()}
+    for i, g in enumerate((1.0, 3.0)):
+        one = df.withColumns({"g0": F.lit(g), **{f"g{k}": F.lit(1.0) for k in (1, 2, 3)}})
+        states = {(r[0], r[2]): r[3] for r in decoding.gain_decode(one, ["g0", "g1", "g2", "g3"], "prior", "all_trans", "all_start").collect()}
+        right = [states[r[0], r[2]] == r[2] % 4 for r in rows]
+        recall = [np.mean([x for x, r in zip(right, rows) if r[2] % 4 == k]) for k in range(4)]
+        assert got[float(i)] == pytest.approx(min(recall) + 0.03 * np.mean(right))
