@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nocturne.operators import decoding, joins
+from nocturne.operators import decoding, joins, positions
 from nocturne.operators.evaluate import bin_of
 from nocturne.operators.nights import NIGHT
 from nocturne.session import cut_lineage
@@ -22,6 +22,7 @@ CLASSES = range(4)
 SMOOTH, FORBIDDEN, TINY = 0.1, -20.0, 1e-10
 # Fixed values: (classes, largest stay, gain of staying, awake keeps its own stay) of the sticky transitions.
 LIGHT_DEEP, ASLEEP, EVERY = ((1, 2), 0.97, 1.4), ((1, 2, 3), 0.96, 1.5), ((0, 1, 2, 3), 0.95, 1.5)
+WINDOWS = 25_000  # windows of a task that learns or applies models by night
 # Pairs of stages that do not follow each other.
 APART = {(2, 3), (3, 2), (2, 0), (0, 2)}
 
@@ -109,6 +110,11 @@ def with_fold_tables(df: DataFrame, fold: str = "fold", **more) -> DataFrame:
 # ------------------------------------------------------------------ naive Bayes without the night
 
 
+def by_night(df: DataFrame) -> DataFrame:
+    """Whole nights dealt over tasks of about ``WINDOWS`` rows, so that their memory does not grow with the number of nights."""
+    return df.repartition(positions.tasks_for(df.sparkSession, df.count(), WINDOWS), *NIGHT)
+
+
 def _moments(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
     sums = F.array(*[F.sum(f) for f in features]).alias("s")
     squares = F.array(*[F.sum(F.col(f) * F.col(f)) for f in features]).alias("q")
@@ -126,15 +132,22 @@ def night_parameters(df: DataFrame, features: list[str], label: str = "label", s
     variances. Variances get ``share`` of the feature's variance over all classes added. A class that the other nights lack
     has a null base.
     """
-    kept = df.where(F.col(label).isNotNull())
-    own = cut_lineage(_moments(kept, features, [*NIGHT, label]), "night-moments")
+    kept = by_night(df.where(F.col(label).isNotNull()))
     zeros = F.array_repeat(F.lit(0.0), len(features))
-    totals = own.groupBy(label).agg(F.sum("n").alias("all_n"), *[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(len(features))]).alias(f"all_{c}") for c in ("s", "q")])
-    grid = own.select(*NIGHT).distinct().withColumn(label, F.explode(F.array(*[F.lit(k) for k in CLASSES])))
-    held = grid.join(own, [*NIGHT, label], "left").join(F.broadcast(totals), label, "left")  # four rows
-    minus = lambda c: _each(F.coalesce(f"all_{c}", zeros), F.coalesce(c, zeros), lambda a, b: a - b).alias(c)
-    held = held.select(*NIGHT, label, (F.coalesce("all_n", F.lit(0.0)) - F.coalesce("n", F.lit(0.0))).alias("n"), minus("s"), minus("q"))
-    night = held.groupBy(*NIGHT).agg(F.sort_array(F.collect_list(F.struct(label, "n", "s", "q"))).alias("c"))
+    sums = _moments(kept, features, [*NIGHT, label])
+    own = cut_lineage(sums.groupBy(*NIGHT).agg(F.collect_list(F.struct(label, "n", "s", "q")).alias("own")), "night-moments")
+    each = own.select(F.explode("own").alias("o")).select("o.*")
+    totals = each.groupBy(label).agg(F.sum("n").alias("n"), *[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(len(features))]).alias(c) for c in ("s", "q")])
+    totals = totals.agg(F.collect_list(F.struct(label, "n", "s", "q")).alias("all"))  # one row of four structs
+    of = lambda rows, k: F.get(F.filter(rows, lambda x: x[label] == k), F.lit(0))
+
+    def others(k: int) -> Column:
+        mine, every = of("own", k), of("all", k)
+        minus = lambda c: _each(F.coalesce(every[c], zeros), F.coalesce(mine[c], zeros), lambda a, b: a - b).alias(c)
+        n = F.coalesce(every["n"], F.lit(0.0)) - F.coalesce(mine["n"], F.lit(0.0))
+        return F.struct(F.lit(k).alias(label), n.alias("n"), minus("s"), minus("q"))
+
+    night = own.crossJoin(F.broadcast(totals)).select(*NIGHT, F.array(*map(others, CLASSES)).alias("c"))
     total = lambda name: F.aggregate("c", zeros, lambda acc, x: F.zip_with(acc, x[name], lambda a, b: a + b))
     night = night.withColumns({"n": F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x.n), "s": total("s"), "q": total("q")})
     wide = _each("q", "s", lambda q, s: F.greatest(q / F.col("n") - s * s / (F.col("n") * F.col("n")), F.lit(0.0)))
@@ -163,8 +176,9 @@ def night_models(df: DataFrame, features: list[str], label: str = "label") -> Da
     # any shift gives the same model; one near the mean keeps the squares small
     means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
     shift = {f: float(round(means[f] or 0.0)) for f in features}
-    moved = cut_lineage(df.withColumns({f: F.col(f) - v for f, v in shift.items()}), "moved")
-    tables = decoder_tables(without_own(label_counts(moved, NIGHT, label))).select(*NIGHT, "trans", "start")
+    kept = [*NIGHT, "win", label, *(["fraction_of_night"] if "fraction_of_night" not in features else [])]
+    moved = cut_lineage(df.select(*kept, *[(F.col(f) - v).alias(f) for f, v in shift.items()]), "moved")
+    tables = decoder_tables(without_own(label_counts(by_night(moved.select(*NIGHT, "win", label, "fraction_of_night")), NIGHT, label))).select(*NIGHT, "trans", "start")
     return night_parameters(moved, features, label).join(tables, NIGHT).withColumn("shift", F.array(*[F.lit(v) for v in shift.values()]))
 
 
@@ -177,7 +191,7 @@ def score_by_night(df: DataFrame, models: DataFrame, features: list[str]) -> Dat
         terms = F.zip_with(F.zip_with("_x", m["mean"], lambda a, b: a - b), m["weight"], lambda d, w: d * d * w)
         return m["base"] - 0.5 * F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 
-    scored = df.join(models, NIGHT).withColumn("_x", x).withColumn("_l", F.transform("model", likelihood))
+    scored = by_night(df).join(models, NIGHT).withColumn("_x", x).withColumn("_l", F.transform("model", likelihood))
     odds = F.transform("_l", lambda v: F.coalesce(F.exp(v - F.array_max("_l")), F.lit(0.0)))
     scored = scored.withColumn("_e", odds).withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v))
     return scored.withColumns({f"p{k}": F.get("_e", F.lit(k)) / F.col("_t") for k in CLASSES}).drop("_x", "_l", "_e", "_t", "model", "shift")
