@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.base import cte, query, sql
-from catalog.model_queries import _CHECK_A, FOLD, FOLDS, emissions, fold_of, frame_a, train_and_test, training_table
+from catalog.model_queries import _CHECK_A, FOLD, FOLDS, emissions, fold_of, frame_a, train_and_test, training_table, windows
 from catalog.stage_queries import smooth_sql
 from nocturne.functions.scalars import stage_name
 from nocturne.operators import decoding, evaluate, sequence
@@ -209,7 +209,8 @@ cte("lo_tables", "lo_pairs lo_nights", f"""
 
 
 def lono_report(scored):
-    """Accuracy per night of the smoothed best classes and of the Viterbi paths."""
+    """Accuracy per night of the smoothed best classes and of the Viterbi paths, which all read the scores once written."""
+    scored = cut_lineage(scored.select(*NIGHT_WIN, "label", "p0", "p1", "p2", "p3", "trans", "start"), "scored")
     raw = models.best_class(scored)
     smooth = sequence.smooth_isolated(raw.select(*NIGHT_WIN, "pred"), "pred", agree=True)
     paths = decoding.viterbi(scored, "trans", "start")
@@ -287,9 +288,7 @@ def m14(spark, sf):
 def augmented_table(spark, sf):
     key = ("augmented", spark.sparkContext.applicationId, sf)
     if key not in _SAVED:
-        from catalog.window_queries import night_rows
-
-        whole = features.features_extra(features.windows_of(night_rows(spark, sf), 20, None, 30, 3), frame_a(spark, sf))
+        whole = features.features_extra(windows(spark, sf), frame_a(spark, sf))
         _SAVED[key] = cut_lineage(whole.select(*NIGHT_WIN, "label", *features.FEATURES_A, *features.FEATURES_EXTRA, *features.NIGHT_Z), "augmented")
     return _SAVED[key]
 

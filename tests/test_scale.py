@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from nocturne.operators import order_stats, positions, series, stagers, trends
 from nocturne.operators.nights import NIGHT, with_night
+from nocturne.plans import features, held_out
 from nocturne.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,35 @@ def test_forward_sum(spark, night_frame):
     df = night_frame(list(range(50, 70)))
     got = [r["s"] for r in positions.forward_sum(df, F.col("hr").cast("long"), 5, "s", NIGHT).orderBy("timestamp").collect()]
     assert got[:16] == [sum(range(50 + i, 55 + i)) for i in range(16)] and got[16:] == [None] * 4
+
+
+def held(df):
+    """Rows of the fullest task and of all."""
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    return max(sizes), sum(sizes)
+
+
+def night_table(spark, nights, rows):
+    return spark.range(nights * rows).select(
+        (F.col("id") % nights).alias("user_id"), F.concat(F.lit("2024-01-0"), F.col("id") % nights % 9).alias("night"), (F.col("id") / nights).cast("long").alias("timestamp"), (50 + F.col("id") % 30).cast("int").alias("hr"))
+
+
+def test_rows_of_a_task_do_not_grow_with_the_nights(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for nights in (100, 400):
+            tasks = positions.tasks_for(spark, nights * 60, 1000)
+            most, rows = held(features.windows_of(night_table(spark, nights, 60), 20, tasks=tasks))
+            assert rows == nights * 40 and most < 2500
+            most, rows = held(positions.sliced_position(night_table(spark, nights, 60), "user_id", "timestamp", ["hr"], tasks))
+            assert rows == nights * 60 and most < 2500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_models_by_night_hold_a_bounded_number_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(held_out, "WINDOWS", 500)
+    for nights in (100, 400):
+        most, rows = held(held_out.by_night(night_table(spark, nights, 30)))
+        assert rows == nights * 30 and most < 1500
