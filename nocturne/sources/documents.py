@@ -449,7 +449,8 @@ def workouts(df: DataFrame) -> DataFrame:
 def har_records(df: DataFrame, url_part: str = "metrics-service") -> DataFrame:
     """Decoded 124-byte records of captured uploads; the last one per key and second wins.
 
-    ``seq`` orders captures; the pick is combined before the shuffle.
+    ``seq`` orders captures; the pick is combined before the shuffle. Only the second and the checks of a record are
+    read for it, the fields of the picked records after it.
     """
     keys = [c for c in df.columns if c not in ("doc", "seq")]
     entries = df.select(*keys, "seq", F.posexplode(F.from_json("doc", HAR_SCHEMA)["log"]["entries"]).alias("entry", "e"))
@@ -457,9 +458,8 @@ def har_records(df: DataFrame, url_part: str = "metrics-service") -> DataFrame:
     bodies = entries.where(F.contains("e.request.url", F.lit(url_part))).select(
         *keys, "seq", "entry", F.unbase64(text).alias("body")
     ).where("body is not null")
-    decoded = decode_records(split_records(bodies)).where("d_ok")
-    picked = decoded.groupBy(*keys, F.col("d.timestamp").alias("timestamp")).agg(
-        F.max_by("d", F.struct("seq", "entry", "at")).alias("d")
-    )
+    valid = decode_records(split_records(bodies)).where("d_ok").select(*keys, "seq", "entry", "at", F.col("d.timestamp").alias("timestamp"), F.unhex("record").alias("record"))
+    picked = valid.groupBy(*keys, "timestamp").agg(F.max_by("record", F.struct("seq", "entry", "at")).alias("record"))
+    decoded = decode_records(picked.withColumn("record", F.hex("record")))
     fields = [f for f in ("hr", "rr_count", "rr1_ms", "rr2_ms", "rr3_ms", "acc_x", "acc_y", "acc_z", "movement", "gyro", "spo2")]
-    return picked.select(*keys, "timestamp", *[F.col(f"d.{f}").alias(f) for f in fields])
+    return decoded.select(*keys, "timestamp", *[F.col(f"d.{f}").alias(f) for f in fields])

@@ -44,3 +44,10 @@ def test_minutes_go_to_the_interval_that_ends_last(spark):
     assert got == slow_minutes(rows) and out.count() == len(got)
     # the minutes are made after the only shuffle
     assert text.count("Exchange hashpartitioning(k") == 1 and "minute" not in text.split("Exchange hashpartitioning(k")[1]
+
+
+def test_captured_records_are_picked_before_they_are_decoded(spark):
+    """The pick carries the bytes of a record, not its fields, so each record is decoded once."""
+    captures = spark.createDataFrame([(1, "{}", 1)], "user_id long, doc string, seq int")
+    plan = documents.har_records(captures)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(record" in plan and "max_by(struct" not in plan and "max_by(named_struct" not in plan
