@@ -14,6 +14,7 @@ fails; then, for those left, shingle by shingle from the texts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -177,10 +178,11 @@ def _connected(df: DataFrame, heads: DataFrame, edges: DataFrame, links: DataFra
     return links, roots
 
 
-def similar_links(df: DataFrame, words: int = 5, least: float = 0.8, crowd: int = 64) -> DataFrame:
+def similar_links(df: DataFrame, words: int = 5, least: float = 0.8, crowd: int = 64, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges ``(u, v)`` of ``df(doc_id, text)`` whose components are those of all pairs of similarity ``least``.
 
-    Equal sets are folded to their smallest doc_id. In each round the sets at a shingle are
+    Equal sets are folded to their smallest doc_id. ``candidates`` makes pairs ``(u, v)`` from the texts of those; the
+    similar ones are linked first and need no comparison later. In each round the sets at a shingle are
     compared with the smallest among them, which then leaves; a shingle whose remaining sets are
     all connected is done. After the rounds (``ROUNDS``, or as soon as no shingle
     has more than ``crowd`` sets left) all pairs left that are not connected are compared, so the
@@ -194,6 +196,10 @@ def similar_links(df: DataFrame, words: int = 5, least: float = 0.8, crowd: int
     discard(found)
     left = heads.select("node", "size", F.posexplode("grams").alias("pos", "gram"), F.col("node").alias("root"))
     links, before = same.limit(0), ()
+    if candidates is not None:
+        near = candidates(df.join(heads.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        links, roots = _connected(df, heads, near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), links, words, least)
+        left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     for last in [False] * ROUNDS + [True]:
         # a shingle is counted with map-side aggregates, and only those of unconnected sets come back by a join, whose hot keys Spark can split
         ends = [F.min("node").alias("first"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")]

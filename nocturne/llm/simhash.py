@@ -145,22 +145,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return prints.join(groups(prints, distance, crowd), "fp").select("doc_id", hexed, "component_id")
 
 
+def linked_documents(df: DataFrame, words: int = 3, distance: int = 2, seed: int = 42, crowd: int = CROWD) -> DataFrame:
+    """Pairs ``(u, v)`` of doc_ids that join all documents whose fingerprints link at ``distance`` or fewer bits.
+
+    A document is paired with the first one of its fingerprint, and the first ones of linked fingerprints with each other.
+    """
+    prints = table(fingerprints(df, words=words, seeds=(seed,)).withColumnRenamed("fp0", "fp"), "fingerprints")
+    first = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first-documents")
+    alike = prints.join(first, "fp").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    ends = [first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first")) for end in ("u", "v")]
+    near = links(first.select("fp"), distance, crowd).join(ends[0], "u").join(ends[1], "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    return table(alike.unionByName(near).where("u != v"), "linked-documents")
+
+
 def similar_leaders(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """``(doc_id, leader)`` of rows in a group of near copies; the leader, its smallest doc_id, is kept.
 
     Groups are the components of all pairs whose exact Jaccard similarity of shingles of ``words``
-    words is ``least`` or more. Fingerprints are not used: they miss too many such pairs, so candidates come from
-    the prefixes of the shingle sets, which miss none; ``crowd`` is passed to ``similar_links``
-    and does not change the groups. Rows without an id neither lead nor follow. Rows that share an id
+    words is ``least`` or more. Documents whose fingerprints link (``linked_documents``) are compared first. Fingerprints alone
+    miss many such pairs, so documents that they did not connect are compared where the prefixes of their shingle sets meet, which
+    misses none; ``crowd`` does not change the groups. Rows without an id neither lead nor follow. Rows that share an id
     are one document, linked where one of its texts is.
     """
     df = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    found = components(similar_links(df, words, least, crowd))
+    found = components(similar_links(df, words, least, crowd, lambda firsts: linked_documents(firsts, crowd=crowd)))
     return found.where("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("leader"))
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """Rows of ``df`` with all columns, one document of each group of near copies.
+    """Rows of ``df`` with all columns, one document of each group of near copies (``similar_leaders``).
 
     Rows without an id stay. Rows that share an id are one document, linked where one of its texts
     is: they stay or go together.

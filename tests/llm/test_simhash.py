@@ -103,3 +103,26 @@ def test_hub_components(spark):
     edges = spark.range(1, 400).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")).union(spark.range(1000, 1300).select(F.col("id"), F.lit(999)))
     roots = {r.node: r.root for r in graph.components(edges).collect()}
     assert roots == {i: 0 for i in range(400)} | {i: 999 for i in range(999, 1300)}
+
+
+def test_linked_documents_join_those_of_close_fingerprints(hard):
+    df = hard.where("doc_id IS NOT NULL").select("doc_id", "text")
+    rows = df.collect()
+    prints = [brute_print(r.text) for r in rows]
+    pairs = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    ids = {r.doc_id for r in rows}
+    found = [(r.u, r.v) for r in simhash.linked_documents(df).collect()]
+    assert found and classes(ids, found) == classes(ids, pairs)
+
+
+def test_dropped_documents_are_linked_by_fingerprints_first(spark, monkeypatch):
+    # three words added at the end: a similar pair whose fingerprints link
+    from nocturne.llm import prefixes
+
+    texts = {1: prose(60, 400), 2: prose(60, 400) + " " + " ".join(prose(60, 400).split()[:3]), 3: prose(61, 200)}
+    seen = []
+    connected = prefixes._connected
+    monkeypatch.setattr(prefixes, "_connected", lambda df, heads, edges, *rest: seen.append({(r.u, r.v) for r in edges.collect()}) or connected(df, heads, edges, *rest))
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {1, 3}
+    assert seen == [{(2, 1)}]
