@@ -28,6 +28,7 @@ from .work import arrow_schema, batch, discard, ints, table, texts
 SAMPLE = 10_000
 COMMON = 200_000
 ROUNDS = 3
+SKETCH = 16  # words of parity bits that every set has
 SLACK = 1e-9
 
 
@@ -52,8 +53,8 @@ def _grams(text: bytes, words: int) -> np.ndarray:
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
-    """Bits, a power of two of them and at least one a shingle, each set if its place was hit an odd number of times."""
-    n = 64
+    """Bits, a power of two of them, 1024 or more and at least one a shingle, each set if its place was hit an odd number of times."""
+    n = 64 * SKETCH
     while n < len(grams):
         n *= 2
     hits = np.bincount((grams & np.uint64(n - 1)).astype(np.int64), minlength=n)
@@ -80,8 +81,9 @@ def _common(df: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(df: DataFrame, words: int, least: float) -> DataFrame:
-    """``(doc_id, high, low, size, bits, grams)``: 128 bits that name the set, its size, its parity bits and its prefix in order."""
-    schema = arrow_schema(doc_id=pa.int64(), high=pa.int64(), low=pa.int64(), size=pa.int32(), bits=pa.list_(pa.int64()), grams=pa.list_(pa.int64()))
+    """``(doc_id, high, low, size, bits, sketch, grams)``: 128 bits that name the set, its size, its parity bits, whole and brought down to ``SKETCH`` words, and its prefix in order."""
+    longs = pa.list_(pa.int64())
+    schema = arrow_schema(doc_id=pa.int64(), high=pa.int64(), low=pa.int64(), size=pa.int32(), bits=longs, sketch=longs, grams=longs)
     common = df.sparkSession.sparkContext.broadcast(_common(df, words))
 
     def run(batches):
@@ -100,9 +102,10 @@ def prefixes(df: DataFrame, words: int, least: float) -> DataFrame:
                 n = len(grams) - math.ceil(least * len(grams) - SLACK) + 1
                 firsts.append(grams[np.lexsort((grams, count))[:n]].view(np.int64))
             if names:
-                yield batch(schema, b.column(0), *np.stack(names, 1), np.array(sizes, np.int32), bits, firsts)
+                sketches = [np.bitwise_xor.reduce(x.reshape(-1, SKETCH), axis=0) for x in bits]
+                yield batch(schema, b.column(0), *np.stack(names, 1), np.array(sizes, np.int32), bits, sketches, firsts)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, high long, low long, size int, bits array<long>, grams array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, high long, low long, size int, bits array<long>, sketch array<long>, grams array<long>")
 
 
 def _may(a: tuple[Column, Column], b: tuple[Column, Column], least: float) -> Column:
@@ -117,6 +120,11 @@ def _folded(bits: str, words: Column, at: Column) -> Column:
     return F.aggregate(every, F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(bits, i)))
 
 
+def _in_reach(turned: Column, m: Column, n: Column, least: float) -> Column:
+    """Whether sets of ``m`` and ``n`` shingles that differ in ``turned`` parity bits can be similar."""
+    return turned * (1 + least) <= (1 - least) * (m + n) + SLACK
+
+
 def _close(edges: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     """The ``edges`` that sizes and parity bits don't rule out.
 
@@ -131,7 +139,7 @@ def _close(edges: DataFrame, heads: DataFrame, least: float) -> DataFrame:
         F.sequence(F.lit(0), words - 1), F.lit(0),
         lambda s, at: s + F.bit_count(_folded("x", words, at).bitwiseXOR(_folded("y", words, at))),
     )
-    return near.where(turned * (1 + least) <= (1 - least) * (F.col("m") + F.col("n")) + SLACK).select("u", "v")
+    return near.where(_in_reach(turned, F.col("m"), F.col("n"), least)).select("u", "v")
 
 
 def _alike(df: DataFrame, edges: DataFrame, words: int, least: float) -> DataFrame:
@@ -153,7 +161,7 @@ def _alike(df: DataFrame, edges: DataFrame, words: int, least: float) -> DataFra
 
     said = df.select("doc_id", "text")
     both = edges.join(said.toDF("u", "x"), "u").join(said.toDF("v", "y"), "v")
-    return table(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long").distinct(), "links")
+    return table(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long").distinct(), "links", narrow=True)
 
 
 def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -162,20 +170,20 @@ def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return named.where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v")
 
 
-def _connected(df: DataFrame, heads: DataFrame, edges: DataFrame, links: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """``links`` with the similar ones of ``edges``, and ``(node, root)`` of their components.
+def _connected(df: DataFrame, heads: DataFrame, edges: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
+    """``links`` with the similar ones of ``edges``.
 
     Each set is compared with its smallest candidate first; candidates connected then need no comparison.
     """
-    edges = table(_close(edges.distinct(), heads, least), "candidate-links")
+    edges = table(_close(edges.distinct(), heads, least), "candidate-links", narrow=True)
     links = links.unionByName(_alike(df, edges.groupBy("u").agg(F.min("v").alias("v")), words, least))
-    roots = components(links)
-    others = table(_apart(edges.join(edges.groupBy("u").agg(F.min("v").alias("least")), "u").where("v > least").drop("least"), roots), "other-links")
+    others = edges.join(edges.groupBy("u").agg(F.min("v").alias("least")), "u").where("v > least").drop("least")
     if not others.isEmpty():
+        others = table(_apart(others, components(links)), "other-links", narrow=True)
         links = links.unionByName(_alike(df, others, words, least))
-        roots = components(links)
-    discard(edges, others)
-    return links, roots
+        discard(others)
+    discard(edges)
+    return links
 
 
 def similar_links(df: DataFrame, words: int = 5, least: float = 0.8, crowd: int = 64, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -189,43 +197,53 @@ def similar_links(df: DataFrame, words: int = 5, least: float = 0.8, crowd: int
     number of rounds changes the work and not the result.
     """
     found = table(prefixes(df, words, least), "prefixes")
-    alike = [F.count("*").alias("n"), F.min("doc_id").alias("node"), *(F.any_value(c).alias(c) for c in ("size", "bits", "grams"))]
+    alike = [F.count("*").alias("n"), F.min("doc_id").alias("node"), *(F.any_value(c).alias(c) for c in ("size", "bits", "sketch", "grams"))]
     heads = table(found.groupBy("high", "low").agg(*alike), "sets")
     same = found.select("doc_id", "high", "low").join(heads.where("n > 1").select("high", "low", "node"), ["high", "low"])
-    same = table(same.where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct(), "equal-sets")
+    same = table(same.where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct(), "equal-sets", narrow=True)
     discard(found)
     left = heads.select("node", "size", F.posexplode("grams").alias("pos", "gram"), F.col("node").alias("root"))
     links, before = same.limit(0), ()
+
+    def named(left: DataFrame, links: DataFrame) -> DataFrame:
+        return left.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     if candidates is not None:
         near = candidates(df.join(heads.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-        links, roots = _connected(df, heads, near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), links, words, least)
-        left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = _connected(df, heads, near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), links, words, least)
+        left = named(left, links)
     for last in [False] * ROUNDS + [True]:
         # a shingle is counted with map-side aggregates, and only those of unconnected sets come back by a join, whose hot keys Spark can split
-        ends = [F.min("node").alias("first"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")]
-        counted = left.groupBy("gram").agg(*ends).where("a < b").select("gram", "first", "n")
-        left = table(left.join(counted, "gram"), "shared-shingles")
+        ends = [F.min(F.struct("node", "root")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")]
+        counted = left.groupBy("gram").agg(*ends).where("a < b").select("gram", F.col("hub.node").alias("first"), F.col("hub.root").alias("met"), "n")
+        left = table(left.join(counted, "gram"), "shared-shingles", narrow=True)
         discard(*before)
         before = (left,)
         most = left.agg(F.max("n")).first()[0] or 0
         if not most:
             break
         if last or most <= crowd:
-            links, _ = _connected(df, heads, _unconnected(left, least), links, words, least)
+            links = _connected(df, heads, _unconnected(left, heads, least), links, words, least)
             break
-        links, roots = _connected(df, heads, left.where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v")), links, words, least)
-        left = left.where("node != first").drop("first", "n", "root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = _connected(df, heads, left.where("node != first AND root != met").select(F.col("node").alias("u"), F.col("first").alias("v")), links, words, least)
+        left = named(left.where("node != first").drop("first", "met", "n"), links)
     discard(heads, *before)
     return same.unionByName(links)
 
 
-def _unconnected(left: DataFrame, least: float) -> DataFrame:
-    """All pairs ``(u, v)`` at a shingle that have different roots: those outside the largest component with the others."""
-    counted = left.drop("first", "n").withColumn("n", F.count("*").over(Window.partitionBy("gram", "root")))
-    named = counted.withColumn("most", F.max(F.struct("n", "root")).over(Window.partitionBy("gram")).getField("root")).drop("n")
-    few, all_ = named.where("root != most").drop("most").alias("x"), named.alias("y")
+def _unconnected(left: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(u, v)`` at a shingle that have different roots: those outside the largest component with the others.
+
+    Sizes, positions and the sketches of parity bits leave out pairs while the sets meet, so that a pair is only made where it may be similar.
+    """
+    shares = left.groupBy("gram", "root").agg(F.count("*").alias("n"))
+    largest = shares.groupBy("gram").agg(F.max(F.struct("n", "root")).getField("root").alias("most"))
+    named = left.select("gram", "node", "root", "size", "pos").join(largest, "gram").join(heads.select("node", "sketch"), "node")
+    named = table(named, "unconnected")
+    few, all_ = named.where("root != most").alias("x"), named.alias("y")
+    turned = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     met = few.join(all_, F.col("x.gram") == F.col("y.gram")).where(
         (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
-        & _may((F.col("x.size"), F.col("x.pos")), (F.col("y.size"), F.col("y.pos")), least)
+        & _may((F.col("x.size"), F.col("x.pos")), (F.col("y.size"), F.col("y.pos")), least) & _in_reach(turned, F.col("x.size"), F.col("y.size"), least)
     )
     return met.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))

@@ -151,11 +151,11 @@ def linked_documents(df: DataFrame, words: int = 3, distance: int = 2, seed: int
     A document is paired with the first one of its fingerprint, and the first ones of linked fingerprints with each other.
     """
     prints = table(fingerprints(df, words=words, seeds=(seed,)).withColumnRenamed("fp0", "fp"), "fingerprints")
-    first = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first-documents")
+    first = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first-documents", narrow=True)
     alike = prints.join(first, "fp").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     ends = [first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first")) for end in ("u", "v")]
     near = links(first.select("fp"), distance, crowd).join(ends[0], "u").join(ends[1], "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
-    return table(alike.unionByName(near).where("u != v"), "linked-documents")
+    return table(alike.unionByName(near).where("u != v"), "linked-documents", narrow=True)
 
 
 def similar_leaders(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:

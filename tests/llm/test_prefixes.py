@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from nocturne.llm import prefixes, simhash
+from nocturne.llm import prefixes, simhash, work
 
 from .conftest import edited, prose
 from .test_simhash import classes, jaccard
@@ -57,3 +57,19 @@ def test_parity_bits_rule_out_no_similar_pair(spark, least):
     got = {tuple(x) for x in prefixes._close(spark.createDataFrame(pairs, "u long, v long"), heads, least).collect()}
     similar = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= least * len(np.union1d(sets[i], sets[j]))}
     assert similar <= got and len(got) < len(pairs) / 2
+
+
+def test_unlike_sets_at_one_shingle_make_no_pairs(spark):
+    r = np.random.default_rng(5)
+    near = r.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [r.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(150)] + [near, np.append(near[:195], r.integers(0, 1 << 63, 5).astype(np.uint64))]
+    heads = spark.createDataFrame([(i, prefixes.parity(s).tolist()) for i, s in enumerate(sets)], "node long, sketch array<long>")
+    left = spark.createDataFrame([(i, 200, 0, 7, i) for i in range(len(sets))], "node long, size int, pos int, gram long, root long")
+    assert [tuple(x) for x in prefixes._unconnected(left, heads, 0.8).collect()] == [(151, 150)]
+
+
+def test_narrow_tables_have_few_files(spark):
+    df = spark.range(5000).repartition(200)
+    found = work.table(df, "narrow", narrow=True)
+    assert len(found.inputFiles()) <= max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8) < 200
+    assert sorted(r.id for r in found.collect()) == list(range(5000))
