@@ -305,7 +305,7 @@ def m9(spark, sf):
 def m4(spark, sf):
     """Boosted trees on all features: every held-out window gets shares that add up to 1, and no night is on both sides."""
     train, test = train_and_test(spark, sf)
-    scored = models.boosted_probabilities(models.fit_boosted(train, features.FEATURES_A, 2, 3), test, features.FEATURES_A)
+    scored = models.boosted_probabilities(models.fit_boosted(train, features.FEATURES_A), test, features.FEATURES_A)
     p = [F.col(f"p{k}") for k in range(4)]
     proper = (F.abs(p[0] + p[1] + p[2] + p[3] - 1) < 1e-9) & (F.least(*p) >= 0)
     both = train.select(*NIGHT).distinct().join(test.select(*NIGHT).distinct(), NIGHT).count()

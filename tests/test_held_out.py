@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries in their order
+from catalog import held_out_queries
 from nocturne.operators import decoding
-from nocturne.plans import held_out, models
+from nocturne.plans import features, held_out, models
 
 RNG = np.random.default_rng(11)
 
@@ -165,3 +167,21 @@ def test_deployed_night_starts_with_its_own_mean(spark, frame):
     rows = frame.withColumn("hours_since_onset", F.col("win") / 30)
     got = models.deployed_stages(rows, trans, 0.9, 0.95, 2).collect()
     assert len(got) == 240 and not any(r.phase == "rem" and r.win < 30 for r in got)
+
+
+def test_stage_classifier_learns_all_rounds(spark, monkeypatch):
+    """The query asks for the rounds and depth of the studied classifier, with checkpoints between them."""
+    rows = [(n, "2024-01-01", w, (n + w) % 4, *map(float, RNG.normal((n + w) % 4, 1, len(features.FEATURES_A)))) for n in range(4) for w in range(12)]
+    names = "user_id long, night string, win int, label int, " + ", ".join(f"{f} double" for f in features.FEATURES_A)
+    table = spark.createDataFrame(rows, names)
+    asked, classifier = [], models.GBTClassifier
+
+    def short(**given):
+        asked.append((given["maxIter"], given["maxDepth"], given["stepSize"]))
+        return classifier(**given | {"maxIter": 2})
+
+    monkeypatch.setattr(models, "GBTClassifier", short)
+    monkeypatch.setattr(held_out_queries, "train_and_test", lambda *_: (table.where("user_id > 0"), table.where("user_id = 0")))
+    got = held_out_queries.m4(spark, "").collect()
+    assert asked == [(300, 3, 0.1)] * 4 and spark.sparkContext.getCheckpointDir()
+    assert {r.label: (r.windows, r.proper, r.shared_nights) for r in got} == {k: (3, 3, 0) for k in range(4)}
