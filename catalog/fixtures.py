@@ -31,8 +31,24 @@ def spread(rows):
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
+def packed(*fields):
+    """Hex digits of numbers, each with its little-endian bytes (``(column, bytes)``), seven bytes at most.
+
+    The digits of all of them come from one number with a one before its first byte.
+    """
+    size = sum(n for _, n in fields)
+    number, at = F.lit(1 << 8 * size), size
+    for c, n in fields:
+        for i in range(n):
+            at -= 1
+            v, left = c.cast("long"), 8 * (at - i)
+            v = F.shiftleft(v, left) if left > 0 else F.shiftright(v, -left) if left < 0 else v
+            number = number.bitwiseOR(v.bitwiseAND(F.lit(255 << 8 * at)))
+    return F.substring(F.hex(number), 2, 2 * size)
+
+
 def le(c, n):
-    return F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)])
+    return packed((c, n))
 
 
 def u8(c):
@@ -43,9 +59,10 @@ def float32(c):
     """Big-endian single precision of a double, rounded to nearest."""
     a = F.abs(c)
     e = F.floor(F.log2(F.when(a > 0, a).otherwise(1.0)))
-    m = F.round((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * 8388608).cast("long")
-    bits = F.shiftleft(F.when(c < 0, 1).otherwise(0).cast("long"), 31) + F.shiftleft((e + 127).cast("long"), 23) + m
-    return F.when(a > 0, F.lpad(F.hex(bits), 8, "0")).otherwise("00000000")
+    # a mantissa step has at least 29 bits after the point, so adding a half is exact
+    m = ((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * 8388608 + 0.5).cast("long")
+    bits = F.when(c < 0, 3 << 31).otherwise(1 << 32) + F.shiftleft((e + 127).cast("long"), 23) + m
+    return F.when(a > 0, F.substring(F.hex(bits), 2, 8)).otherwise("00000000")
 
 
 def zeros(n):
@@ -60,19 +77,20 @@ def frames(spark, sf):
     rr2 = F.coalesce(F.floor("rr2_ms"), F.lit(0)).cast("long")
     spo2 = F.coalesce(F.col("spo2") - 10, F.lit(0))
     count = F.when(rr2 > 0, 2).when(rr1 > 0, 1).otherwise(0)
-    floats = F.concat(*[float32(F.col(c)) for c in ("gyro", "acc_x", "acc_y", "acc_z")])
+    # as an array function this step stays out of whole-stage code, whose one method would be too long to be compiled
+    s = s.withColumn("floats", F.transform(F.array("gyro", "acc_x", "acc_y", "acc_z"), float32))
+    floats = F.concat(*[F.get("floats", F.lit(i)) for i in range(4)])
     head = F.concat(F.lit("2F"), zeros(6), le(F.col("timestamp"), 4), zeros(3), u8(spo2))
-    short = F.concat(head, zeros(4), u8(F.col("hr")), u8(count), le(rr1, 2), le(rr2, 2), zeros(11), floats, zeros(24))
-    long = F.concat(head, u8(count), le(rr1, 2), le(rr2, 2), zeros(16), floats, zeros(60))
-    s = s.withColumn("payload", F.when(F.col("user_id") % 2 == 0, short).otherwise(long))
-    header = F.concat(F.lit("AA01"), le(F.length("payload") / 2 + 4, 2), F.lit("0100"))
-    s = s.withColumn("header", header)
-    crc = F.crc32(F.unhex("payload"))
+    short = F.col("user_id") % 2 == 0
+    by_layout = lambda a, b: F.when(short, a).otherwise(b)
+    middle = by_layout(F.concat(zeros(4), u8(F.col("hr"))), F.lit("")), packed((count, 1), (rr1, 2), (rr2, 2)), by_layout(zeros(11), zeros(16))
+    s = s.withColumn("payload", F.concat(head, *middle, floats, by_layout(zeros(24), zeros(60))))
+    header = F.concat(F.lit("AA01"), le(F.octet_length("payload") / 2 + 4, 2), F.lit("0100"))
     # rows with an oxygen value of 97 carry a damaged checksum
-    crc = F.when(F.col("spo2") == 97, (crc + 1).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(crc)
-    return s.withColumn(
-        "frame", F.concat("header", le(crc16_modbus(F.col("header"), 6), 2), "payload", le(crc, 4))
-    ).drop("payload", "header")
+    damaged = F.when(F.col("spo2") == 97, 1).otherwise(0)
+    s = s.withColumns({"header": header, "crc": (F.crc32(F.unhex("payload")) + damaged).bitwiseAND(F.lit(0xFFFFFFFF))})
+    s = s.withColumn("header_crc", crc16_modbus(F.col("header"), 6))
+    return s.withColumn("frame", F.concat("header", le(F.col("header_crc"), 2), "payload", le(F.col("crc"), 4))).drop("floats", "payload", "header", "crc", "header_crc")
 
 
 @written

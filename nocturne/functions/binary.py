@@ -1,7 +1,8 @@
 """Fields of binary frames as column expressions over their hex text.
 
 A frame is handled as upper-case hex so every field is a ``substring``; all of
-it stays inside code generation, no Python per row.
+it stays inside code generation, no Python per row. Positions count bytes of the text:
+characters would be counted from its start for every field.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 def byte_hex(frame: Column, at: int, n: int = 1) -> Column:
     """Hex digits of ``n`` bytes from byte offset ``at`` (0-based)."""
-    return F.substring(frame, at * 2 + 1, n * 2)
+    return F.substring(frame.cast("binary"), at * 2 + 1, n * 2).cast("string")
 
 
 def _from_hex(digits: Column) -> Column:
@@ -37,16 +38,18 @@ def float32_bits(frame: Column, at: int) -> Column:
     return uint_be(frame, at, 4)
 
 
+def _scales() -> tuple[list[float | None], list[float]]:
+    """By sign and exponent of an IEEE single: what one step of its mantissa is worth, and its hidden bit."""
+    steps = [2.0 ** (max(e, 1) - 150) if e < 255 else None for e in range(256)]
+    return steps + [None if s is None else -s for s in steps], [8388608.0 if e else 0.0 for e in range(256)] * 2
+
+
 def float32_value(bits: Column) -> Column:
     """The value of the bits of an IEEE single; NULL for infinities and NaN."""
-    sign = F.when(bits.bitwiseAND(F.lit(0x80000000)) != 0, -1.0).otherwise(1.0)
-    exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(0xFF))
-    mantissa = bits.bitwiseAND(F.lit(0x7FFFFF)).cast("double")
-    normal = (1.0 + mantissa / 8388608.0) * F.pow(F.lit(2.0), (exponent - 127).cast("double"))
-    denormal = mantissa * F.lit(2.0**-149)
-    return F.when(exponent == 255, F.lit(None).cast("double")).otherwise(
-        sign * F.when(exponent == 0, denormal).otherwise(normal)
-    )
+    # two looked-up numbers instead of nested conditions: the code of a whole frame stays small enough to be compiled
+    steps, hidden = (F.array(*[F.lit(v).cast("double") for v in values]) for values in _scales())
+    top = F.shiftright(bits, 23).bitwiseAND(F.lit(0x1FF)).cast("int")
+    return (bits.bitwiseAND(F.lit(0x7FFFFF)).cast("double") + F.get(hidden, top)) * F.get(steps, top)
 
 
 def float32_be(frame: Column, at: int) -> Column:
@@ -54,20 +57,26 @@ def float32_be(frame: Column, at: int) -> Column:
     return float32_value(float32_bits(frame, at))
 
 
-def crc16_modbus(frame: Column, n_bytes: int) -> Column:
-    """CRC-16/MODBUS of the first ``n_bytes`` bytes, as expressions."""
+def _crc16(data: bytes, crc: int) -> int:
+    for byte in data:
+        crc ^= byte
+        for _ in range(8):
+            crc = crc >> 1 ^ 0xA001 if crc & 1 else crc >> 1
+    return crc
 
-    def shift(crc: Column, _i: Column) -> Column:
-        half = F.shiftright(crc, 1)
-        return F.when(crc.bitwiseAND(F.lit(1)) == 1, half.bitwiseXOR(F.lit(0xA001))).otherwise(half)
 
-    def feed(crc: Column, i: Column) -> Column:
-        value = F.conv(F.substring(frame, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc.bitwiseXOR(value), shift)
+def crc16_modbus(frame: Column, n_bytes: int) -> Column:
+    """CRC-16/MODBUS of the first ``n_bytes`` bytes, as expressions.
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n_bytes - 1)), F.lit(0xFFFF), feed)
+    The checksum is linear in the bits: that of zeros, exclusive or one table entry for each byte at its place.
+    """
+    crc = F.lit(_crc16(bytes(n_bytes), 0xFFFF))
+    for i in range(n_bytes):
+        entries = F.array(*[F.lit(_crc16(bytes([v]) + bytes(n_bytes - 1 - i), 0)) for v in range(256)])
+        crc = crc.bitwiseXOR(F.get(entries, u8(frame, i)))
+    return crc
 
 
 def crc32(frame: Column, at: int, n_bytes: Column) -> Column:
     """CRC-32 of ``n_bytes`` bytes from offset ``at``."""
-    return F.crc32(F.unhex(F.substring(frame, F.lit(at * 2 + 1), n_bytes * 2)))
+    return F.crc32(F.unhex(F.substring(frame.cast("binary"), F.lit(at * 2 + 1), n_bytes * 2).cast("string")))
