@@ -223,13 +223,16 @@ def latest(df: DataFrame, n: int = 1, keys: list[str] = ["user_id"], order: list
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= n)
 
 
-def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
+def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "first", where: str | None = None) -> DataFrame:
     """One row per key by an explicit order; combined before the shuffle, so a key
-    with very many copies stays cheap."""
-    rest = [c for c in df.columns if c not in keys]
+    with very many copies stays cheap. Only rows whose column ``where`` is true count: unlike a filter before,
+    which Spark would move below the steps that make the column, this needs them once."""
+    rest = [c for c in df.columns if c not in keys and c != where]
     by = F.struct(*order)
     pick = F.min_by if keep == "first" else F.max_by
-    return df.groupBy(*keys).agg(pick(F.struct(*rest), by).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    kept = df.groupBy(*keys).agg(pick(F.struct(*rest), F.when(F.col(where), by) if where else by).alias("_r"))
+    kept = kept.where("_r is not null") if where else kept
+    return kept.select(*keys, "_r.*").select(*[c for c in df.columns if c != where])
 
 
 def top_k(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:

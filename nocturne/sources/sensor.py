@@ -59,8 +59,8 @@ def scan(raw: DataFrame) -> DataFrame:
     fields = [
         F.when(F.col("d_ok"), F.col("d")[f.name]).otherwise(stored[f.name].cast(f.dataType)).alias(f.name) for f in frames.schema["d"].dataType.fields
     ]
-    rows = frames.where("d_ok OR hr > 30").select("user_id", "id", *fields)
-    return keep_one(rows, ["user_id", "timestamp"], ["id"]).drop("id")
+    rows = frames.select("user_id", "id", *fields, F.expr("d_ok OR hr > 30").alias("usable"))
+    return keep_one(rows, ["user_id", "timestamp"], ["id"], where="usable").drop("id")
 
 
 def recompute_hr(df: DataFrame) -> DataFrame:

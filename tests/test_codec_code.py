@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from catalog import fixtures
 from nocturne.functions import binary
+from nocturne.operators.trends import keep_one
 from nocturne.sources import packets
+from nocturne.sources import sensor as tables
 
 from test_scale import SF, plan
 
@@ -36,7 +38,7 @@ def without_adaptive(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-@pytest.mark.parametrize("name", ["d1_decode_frames"])
+@pytest.mark.parametrize("name", ["d1_decode_frames", "io1_sensor_scan"])
 def test_decoding_is_compiled(spark, without_adaptive, name):
     assert longest_method(entry.queries()[name](spark, SF)) < 8000
 
@@ -103,3 +105,12 @@ def test_fields_of_both_layouts_and_of_no_frames(spark):
     beats = {k: (got[k].d.hr, got[k].d.rr_count, got[k].d.rr1_ms, got[k].d.rr2_ms) for k in ("short", "two", "one", "low")}
     assert beats == {"short": (61, 0, 900.0, None), "two": (66, 2, 900.0, 950.0), "one": (66, 1, 900.0, None), "low": (0, 0, None, None)}
     assert (got["two"].d.gyro, got["two"].d.acc_x, got["two"].d.acc_y, got["two"].d.acc_z, got["two"].d.spo2) == (0.25, -1.5, 0.0, 100.0, 97)
+
+
+def test_only_usable_rows_are_picked(spark):
+    rows = [(1, 5, 1, False), (1, 6, 2, True), (1, 4, 3, None), (2, 1, 4, False), (None, 9, 5, True), (3, None, 6, True), (3, 1, 7, True)]
+    got = keep_one(spark.createDataFrame(rows, "k int, id int, v int, ok boolean"), ["k"], ["id"], where="ok")
+    assert got.columns == ["k", "id", "v"] and sorted(map(tuple, got.collect()), key=str) == [(1, 6, 2), (3, None, 6), (None, 9, 5)]
+    raw = spark.createDataFrame([(1, 10, 1, 30, None), (1, 10, 2, 31, None), (1, 11, 3, None, "")], "user_id long, timestamp long, id long, hr int, raw_hex string")
+    raw = raw.withColumns({c: F.lit(None).cast("double") for c in ("rr_count", "rr1_ms", "acc_x", "acc_y", "acc_z", "gyro", "spo2")})
+    assert [(r.timestamp, r.hr) for r in tables.scan(raw).collect()] == [(10, 31)]
