@@ -185,3 +185,35 @@ def test_stage_classifier_learns_all_rounds(spark, monkeypatch):
     got = held_out_queries.m4(spark, "").collect()
     assert asked == [(300, 3, 0.1)] * 4 and spark.sparkContext.getCheckpointDir()
     assert {r.label: (r.windows, r.proper, r.shared_nights) for r in got} == {k: (3, 3, 0) for k in range(4)}
+
+
+def test_exchanged_rows_are_scored_as_vectors(spark, frame, monkeypatch):
+    """The losses are those of the exchanged columns scored by the whole model; rows carry one array, in tasks of bounded size."""
+    names = ["f", "g", "h"]
+    seen = frame.where("label < 3").withColumnsRenamed(dict(zip("xyz", names)))
+    model = models.fit_stages(seen, names, 3, 3)
+    monkeypatch.setattr(models, "PERMUTED", 20)
+    losses = models.permutation_importance(model, seen, names)
+    text = losses._jdf.queryExecution().optimizedPlan().toString()
+    tasks = -(-seen.count() // 20)
+    assert "CASE WHEN (feature" not in text and "RepartitionByExpression [user_id" in text and f", {tasks}" in text
+    right = F.avg((F.col("pred") == F.col("label")).cast("double"))
+    hit = lambda df: models.best_class(models.stage_probabilities(model, df, names))
+    base = hit(seen).agg(right).first()[0]
+    want = {names[r.feature]: base - r.a for r in hit(models.permuted(models.finite(seen, names), names)).groupBy("feature").agg(right.alias("a")).collect()}
+    got = {r.feature: r.importance for r in losses.collect()}
+    assert got == want and len(want) == 3 and max(map(abs, want.values())) > 0
+
+
+def test_exchange_keeps_the_values_of_a_night(frame):
+    """Only the named feature moves, within its night, and by the same hash as ever."""
+    names = ["x", "y", "z"]
+    clean = models.finite(frame, names)
+    own = {(r.user_id, r.win): (r.x, r.y, r.z) for r in clean.collect()}
+    rows = models.permuted(clean, names).collect()
+    assert len(rows) == 3 * len(own)
+    for i in range(3):
+        for n in range(6):
+            night = [r for r in rows if r.feature == i and r.user_id == n]
+            assert sorted(r[names[i]] for r in night) == sorted(v[i] for (u, _), v in own.items() if u == n)
+            assert all(r[names[j]] == own[n, r.win][j] for r in night for j in range(3) if j != i)
